@@ -27,8 +27,25 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), limit=512)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.common import scratch_path
+    from gridloom.llm.token_files import read_token_files, write_token_files
+
+    path = scratch_path(spark, "token-files")
+    write_token_files(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), path, end_id=0)
+    return read_token_files(spark, path)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), capacity=4096, end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_token_files": op4_token_files,
+    "op5_packing": op5_packing,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
