@@ -76,7 +76,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     kind = stored.schema["doc_id"].dataType.simpleString()
     rows = map_batches(stored.select("doc_id", "n_tokens", "ids", "file"), check, f"doc_id {kind}, n_tokens long, file string, ids_crc32 long")
     files = stored.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("file_start"))
     inside = Window.partitionBy("file").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
