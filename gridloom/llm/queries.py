@@ -42,10 +42,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), capacity=4096, end_id=2)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.mixing import mix, training_order
+
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return training_order(mixed, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
+    "op8_mixing": op8_mixing,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
