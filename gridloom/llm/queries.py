@@ -49,11 +49,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order(mixed, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op8_mixing": op8_mixing,
+    "op9_simhash": op9_simhash,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
