@@ -48,6 +48,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary(WORD_VOCABULARY), capacity=4096, end_id=2)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.mixing import mix, training_order
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
+    "op6_html_text": op6_html_text,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
 }
