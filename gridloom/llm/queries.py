@@ -54,6 +54,12 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.media_jpeg import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.mixing import mix, training_order
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op6_html_text": op6_html_text,
+    "op7_media_jpeg": op7_media_jpeg,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
 }
