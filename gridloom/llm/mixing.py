@@ -66,20 +66,23 @@ def _position(share: Column, slope: Column) -> Column:
     return F.when(bend == 0.0, share).otherwise(F.abs(root))
 
 
-def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, slopes: tuple[float, ...] = SLOPES, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, taken, position, and the columns named in `keep`.
+def _key() -> Column:
+    return F.xxhash64("doc_id", "source", "text")
+
+
+def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, slopes: tuple[float, ...] = SLOPES, key: bool = False) -> DataFrame:
+    """One row a document: doc_id, size, source, source_size, target, taken, position, and `key`, its hash, if asked for.
 
     taken counts words with repeats, 0 to max_repeats * size: a source's target is dealt out along the documents in the order
-    of a hash of doc_id and text, whole rounds first; the last document taken may be taken in part, so a source's taken
+    of a hash of doc_id, source and text, whole rounds first; the last document taken may be taken in part, so a source's taken
     words are its target to within one word. position is the training time of a document's first taken word (null: none).
 
     A null text has size 0; a null source is a source of its own, the last; repeated rows count each; the order of equal
     rows doesn't matter. Empty tables give no rows. Extra columns are ignored. Reruns agree.
     """
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"), *keep)
-    if not keep:
-        # Sizes are needed by the sums and by the dealing; texts are read once for them, and lost executors don't change that.
-        sized = durable(sized, "mixing-sizes")
+    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"), _key().alias("key"))
+    # Sizes are needed by the sums and by the dealing; texts are read once for them, and lost executors don't change that.
+    sized = durable(sized, "mixing-sizes")
     targets = durable(source_targets(sized, weights, max_repeats), "mixing-targets")
     few = targets.count() <= BROADCAST_SOURCES
     # Band of a document: its key's place in the hash range, in as many bands as its source has of BAND_ROWS documents.
@@ -105,10 +108,39 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     placed = placed.withColumn("taken", (F.col("rounds") * F.col("size") + rest).cast("long"))
     share = F.when(F.col("goal") > 0, F.col("start") / F.col("goal"))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, _position(F.least(share, F.lit(1.0)), _cycle(F.col("rank"), slopes))))
-    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "position", *keep)
+    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "position", *(["key"] if key else []))
 
 
 def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
     """Documents range-sorted by training position; the ones that aren't taken come last."""
     order = [F.asc_nulls_last("position"), F.asc_nulls_last("doc_id")]
     return mixed.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+
+
+
+def copies_of(taken: Column, size: Column) -> Column:
+    """Words that each copy of a document has: whole copies, then what is left."""
+    n = F.ceil(taken / F.when(size > 0, size)).cast("int")
+    return F.when(taken > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.least(size, taken - size * (k - 1))))
+
+
+def repeat_documents(documents: DataFrame, partitions: int) -> DataFrame:
+    """The documents of the mix with their columns, each as often as it is taken, range-sorted by training position.
+
+    A copy that is taken in part has the text's first words, with the white space before each, and its n_chars. Documents that
+    the mix doesn't take are left out, as are texts without words. Copies of one document follow each other a round apart.
+    """
+    mixed = mix(documents, key=True)
+    totals = durable(mixed.groupBy("key", "doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.min("position").alias("position"), F.count(F.lit(1)).alias("rows")).filter("taken > 0"), "mixing-taken")
+    keyed = documents.withColumn("mix_key", _key())
+    joined = keyed.join(totals.withColumnRenamed("doc_id", "mix_doc_id"), (F.col("mix_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("mix_doc_id")))
+    if not totals.filter("rows > 1").isEmpty():
+        joined = joined.dropDuplicates(["key", "mix_doc_id"])
+    copies = joined.select(*documents.columns, "size", "position", F.posexplode(copies_of(F.col("taken"), F.col("size"))).alias("mix_round", "mix_words"))
+    pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
+    text = F.when(F.col("mix_words") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("mix_words").cast("int")), "")).otherwise(F.col("text"))
+    copies = copies.withColumn("text", text)
+    if "n_chars" in documents.columns:
+        copies = copies.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
+    order = [F.col("position") + F.col("mix_round"), F.asc_nulls_last("doc_id")]
+    return copies.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select(*documents.columns)

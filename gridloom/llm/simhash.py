@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import doc_and_text, durable, map_batches, texts_of
@@ -83,3 +83,108 @@ def near_duplicates(documents: DataFrame, words: int = 3, distance: int = 3) ->
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     components = labelled.join(least, "root").select("fp", "component_id")
     return prints.join(components, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# --- Near copies by word-shingle similarity ------------------------------------------------------------------------------
+
+#: 64-bit words of the search fingerprint (distinct words) and of the deciding one (five-word shingles).
+SEARCH_WORDS, DECIDE_WORDS = 4, 8
+
+
+def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Majority bits over hashes, 64 for each of `words` mixes of every hash, as signed longs."""
+    if not len(hashes):
+        return np.zeros(words, np.int64)
+    ones = np.empty((words, 64), np.int64)
+    for i in range(words):
+        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        ones[i] = np.unpackbits(mixed.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), axis=1).view(">i8").astype(np.int64).reshape(words)
+
+
+def sketches(documents: DataFrame, words: int) -> DataFrame:
+    """doc_id, same (a hash of the words, lower-cased), search, decide: fingerprints of every whole text."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        same, search, decide = [], [], []
+        for text in texts_of(batch):
+            found = text.encode().translate(LOWER).split()
+            same.append(int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(found))).view(np.int64)))
+            single = np.array([xxhash.xxh3_64_intdigest(w) for w in set(found)], np.uint64)
+            search.append(_spread(single, SEARCH_WORDS))
+            decide.append(_spread(np.unique(np.array(shingle_hashes(text, words), np.uint64)), DECIDE_WORDS))
+        longs = pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), pa.array(search, longs), pa.array(decide, longs)], names=["doc_id", "same", "search", "decide"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, search array<long>, decide array<long>")
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+
+
+def _candidates(classes: DataFrame, order: int) -> DataFrame:
+    """u, v: fingerprint classes and the leaders of the buckets that their Hamming balls meet, in at most two a bucket.
+
+    A bucket's leaders are its first and last class by a hash that `order` seeds: links grow with classes, not with pairs.
+    """
+    halves = F.flatten(F.transform("search", lambda w: F.array(F.shiftrightunsigned(w, SEGMENT), w.bitwiseAND(F.lit((1 << SEGMENT) - 1)))))
+    stored = classes.select("same", F.posexplode(halves).alias("segment", "key"))
+    rank = F.struct(F.xxhash64("same", F.lit(order)).alias("rank"), "same")
+    leaders = stored.groupBy("segment", "key").agg(F.min(rank)["same"].alias("a"), F.max(rank)["same"].alias("b"))
+    leaders = leaders.select("segment", "key", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    ball = F.expr(f"concat(array(key), transform(sequence(0, {SEGMENT - 1}), i -> key ^ shiftleft(1L, i)))")
+    probes = stored.select(F.col("same").alias("u"), "segment", F.explode(ball).alias("key"))
+    return probes.join(leaders, ["segment", "key"]).filter("u != v").select("u", "v").distinct()
+
+
+def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, group_id (least doc_id of its group) of every document with a doc_id.
+
+    Texts of equal words are one class. Classes are linked when the deciding fingerprints, over distinct shingles of `words`
+    words, are as close as sets of that Jaccard similarity are expected to be, and a standard deviation more. Links are looked for
+    among the leaders of shared buckets, then again, with other leaders, among the classes that are still apart, until none is found.
+    """
+    prints = durable(sketches(documents.filter("doc_id is not null"), words), "sketches")
+    classes = durable(prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("search").alias("search"), F.first("decide").alias("decide")), "classes")
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * DECIDE_WORDS
+    limit = int(share * bits + np.sqrt(bits * share * (1 - share)))
+    left = classes.select(F.col("same").alias("u"), F.col("decide").alias("du"))
+    right = classes.select(F.col("same").alias("v"), F.col("decide").alias("dv"))
+    links, active, order = None, classes, 0
+    while True:
+        pairs = durable(_candidates(active, order), "candidates")
+        close = pairs.join(left, "u").join(right, "v").filter(_bits_apart("du", "dv") <= limit).select("u", "v")
+        found = durable(close, "links")
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        roots = connected_components(links)
+        # Still apart: the roots and loners among the classes that share a bucket with another.
+        mates = pairs.select("u").union(pairs.select("v")).distinct()
+        apart = mates.join(roots, F.col("u") == F.col("node"), "left_anti")
+        active = durable(classes.join(apart, classes["same"] == apart["u"], "left_semi"), "apart")
+        order += 1
+    if links is None:
+        return prints.join(classes, "same").select("doc_id", F.col("first").alias("group_id"))
+    labelled = durable(classes.join(roots, classes["same"] == roots["node"], "left").select("same", "first", F.coalesce("root", "same").alias("root")), "labelled")
+    groups = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("group_id")), "root").select("same", "group_id")
+    return prints.join(groups, "same").select("doc_id", "group_id")
+
+
+def keep_first_of_group(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents without near copies: of each group the one with the least doc_id stays, with all its columns.
+
+    Rows that share a doc_id are one document, of which one row stays. Rows without a doc_id stay.
+    """
+    groups = durable(near_copy_groups(documents, words, similarity), "groups")
+    dropped = groups.filter("group_id != doc_id").select("doc_id").distinct()
+    kept = documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

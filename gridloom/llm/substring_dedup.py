@@ -182,13 +182,14 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     repeats = repeated_chunks(doc_and_text(documents)).withColumnRenamed("doc_id", "repeats_doc_id")
     joined = documents.join(repeats, documents["doc_id"] == repeats["repeats_doc_id"], "left")
     plain = joined.filter("repeats is null").select(*documents.columns)
-    place = documents.columns.index("text")
+    names = documents.columns
+    place = names.index("text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [without(t, removals(t, r)) for t, r in zip(texts_of(batch), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
         columns[place] = pa.array(texts, pa.string())
-        return pa.RecordBatch.from_arrays(columns, names=documents.columns)
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     cut = map_batches(joined.filter("repeats is not null").select(*documents.columns, "repeats"), run, documents.schema)
     if "n_chars" in documents.columns:
