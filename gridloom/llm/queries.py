@@ -79,6 +79,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3)
 
 
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.bm25 import search
+
+    documents = table(spark, sf_dir, "documents")
+    # The stated query set: every row whose id is divisible by 20, against all rows.
+    return search(documents, documents.filter("doc_id % 20 = 0"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
@@ -89,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_media_jpeg": op7_media_jpeg,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
+    "op10_bm25": op10_bm25,
 }
 
 #: DuckDB SQL for the operators that SQL can express.
