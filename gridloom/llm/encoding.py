@@ -7,54 +7,123 @@ space is encoded whole. Results equal the library's on the whole text.
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
-MEMO_WORDS = 500_000
+#: Words that a Python worker remembers before it starts afresh, at about 400 bytes each.
+MEMO_WORDS = 400_000
+#: Punctuation at a word's end is a pre-token of its own in both vocabularies.
+MARKS = ".,;:!?"
+
+
+def byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as itself, the rest from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+def is_plain(stem: str) -> bool:
+    """Letters only, and still so after the normalization and lower-casing that a vocabulary may ask for."""
+    return stem.isalpha() and (stem.isascii() or unicodedata.is_normalized("NFC", stem) and stem.lower().isalpha())
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        self.memo_words = memo_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.model = self.library.model
+        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
+        # Vocabularies without an end-of-word mark write the space before a word as part of it.
+        self.space = "" if spec["model"].get("end_of_word_suffix") else byte_letters()[32]
+        self.letters = dict(enumerate(byte_letters()))
+        self.newline = self._ids("\n")
+        self._forget()
+
+    def _forget(self) -> None:
+        # Words as they follow a space or, from their first letter "\n" on, a line's end; their parts.
         self.words: dict[str, bytes | None] = {}
+        self.stems: dict[str, bytes] = {}
+        self.openers: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.dtype("<u4")).tobytes()
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.dtype("<u4"))
 
-    def _learn(self, words: list[str]) -> None:
-        loose = lambda w: not w or w[0].isspace() or w[-1].isspace()
-        for word in filter(loose, words):
-            self.words[word] = None
-        firm = [w for w in words if not loose(w)]
-        for word, made in zip(firm, self.library.encode_batch_fast([" " + w for w in firm], add_special_tokens=False), strict=True):
+    def _learn_row(self, stems: list[str], table: dict[str, bytes], space: str) -> None:
+        """Plain words (letters only) are one pre-token each, which goes to the library's model as it stands."""
+        ids: list[int] = []
+        edges = [0]
+        split, letters, lower = self.model.tokenize, self.letters, self.lower
+        for stem in stems:
+            if stem.isascii():
+                piece = stem.lower() if lower else stem
+            else:
+                piece = "".join(map(str.lower, stem)) if lower else stem
+                piece = piece.encode().decode("latin-1").translate(letters)
+            ids += [token.id for token in split(space + piece)]
+            edges.append(4 * len(ids))
+        raw = np.asarray(ids, np.dtype("<u4")).tobytes()
+        table.update(zip(stems, [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)], strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        plain: dict[str, str] = {}
+        odd: list[str] = []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if is_plain(stem):
+                plain[word] = stem
+            elif stem[:1] == "\n" and is_plain(stem[1:]):
+                plain[word] = stem
+            else:
+                odd.append(word)
+        wanted = set(plain.values())
+        self._learn_row([s for s in wanted.difference(self.stems) if s[0] != "\n"], self.stems, self.space)
+        self._learn_row(list({s[1:] for s in wanted if s[0] == "\n"}.difference(self.openers)), self.openers, "")
+        stems, openers, tails, line = self.stems, self.openers, self.tails, self.newline.tobytes()
+        for word, stem in plain.items():
+            ids = stems[stem] if stem[0] != "\n" else line + openers[stem[1:]]
+            if len(stem) < len(word):
+                tail = word[len(stem) :]
+                if tail not in tails:
+                    tails[tail] = self._ids(tail).tobytes()
+                ids += tails[tail]
+            self.words[word] = ids
+        # A word with white space at an end, or none at all, can join white space outside it.
+        inner = {w: w[1:] if w[:1] == "\n" else w for w in odd}
+        self.words.update((w, None) for w, x in inner.items() if not x or x[0].isspace() or x[-1].isspace())
+        firm = [w for w in odd if w not in self.words]
+        for word, made in zip(firm, self.library.encode_batch_fast([w if w[0] == "\n" else " " + w for w in firm], add_special_tokens=False), strict=True):
             self.words[word] = np.asarray(made.ids, np.dtype("<u4")).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.split(" ") for t in texts]
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        new: set[str] = set()
-        for words in split:
-            new.update(words[1:])
-        self._learn([w for w in new if w not in self.words])
-        out = []
+        if len(self.words) > self.memo_words or len(self.tails) > 10_000:
+            self._forget()
+        # A text's first word is one after a line's end, whose own ids are left out again.
+        split = [("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
+        new = set().union(*split).difference(self.words)
+        if new:
+            self._learn(new)
+        known, skip, out = self.words.__getitem__, 4 * len(self.newline), []
         for text, words in zip(texts, split, strict=True):
-            first = words[0]
-            known = list(map(self.words.__getitem__, words[1:]))
-            if len(words) > 1 and (not first or first[-1].isspace()) or None in known:
-                out.append(self._whole(text))
-            else:
-                out.append(self._whole(first) + b"".join(known))
+            try:
+                out.append(b"".join(map(known, words))[skip:])
+            except TypeError:
+                out.append(self._ids(text).tobytes())
         return out
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> Encoder:
     """One encoder a worker process and vocabulary."""
-    return Encoder(path)
+    return Encoder(path, memo_words)

@@ -25,6 +25,8 @@ from gridloom.llm.encoding import encoder
 GROUP_WINDOWS = 64
 PIECE = 1024
 SLACK = 16
+#: Words whose ids a worker remembers; no shuffle shares an executor's memory with it here.
+MEMO_WORDS = 1_000_000
 #: The last tokens of a full group are cut this fine: differencing places them last, where they level the windows.
 FINE_TOKENS, FINE = 4096, 32
 
@@ -154,7 +156,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 4096,
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, MEMO_WORDS).encode
         doc_type = pa.int64()
         context = TaskContext.get()
         sequence = count((context.partitionId() if context else 0) << 33)

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from gridloom.llm.common import doc_and_text, map_batches, texts_of
+from gridloom.llm.encoding import byte_letters
 
 #: The pre-token pattern of the byte-level vocabulary.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -25,20 +26,13 @@ PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 MEMO_WORDS = 700_000
 
 
-def _byte_letters() -> dict[str, int]:
-    """The letter that the vocabulary file writes for each byte: printable Latin-1 as itself, the rest from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class PrefixCounter:
     """Counts for one vocabulary file of the tokenizers library (byte-level BPE with merges in rank order)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        letters = _byte_letters()
+        letters = {letter: byte for byte, letter in enumerate(byte_letters())}
         as_bytes = lambda token: bytes(letters[c] for c in token)
         self.ids = {as_bytes(token): i for token, i in spec["model"]["vocab"].items()}
         self.longest = max(map(len, self.ids))
