@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import corpus, topk
+from gridloom.plans import toolkit
 from gridloom.operators.rollup import MERGES, Rollup, order_sql, ranked
-from gridloom.sources.catalog import CATALOG_SQL, Catalog
+from gridloom.sources.catalog import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +45,5 @@ def catalogue() -> tuple[dict[str, Query], dict[str, str]]:
         for kind, pushed in (("raw", False), ("regional", True)):
             found[f"topk_{kind}_{shape}"] = lambda spark, sf_dir, s=shape, r=regions, p=pushed: topk.topk(Catalog(spark, sf_dir), s, 25, r, p)
             sql[f"topk_{kind}_{shape}"] = topk.topk_sql(shape, 25, regions)
-    return found, sql
+    return found | toolkit.QUERIES, sql | toolkit.SQL
 
-
-__all__ = ["CATALOG_SQL", "catalogue"]
