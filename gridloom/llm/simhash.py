@@ -20,6 +20,8 @@ from gridloom.llm.components import connected_components
 #: A-Z to a-z, other bytes as they are.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEGMENT = 32
+#: A segment's value and the values with one of its zero bits set, in SQL over the column `key`.
+BALL = f"concat(array(key), transform(filter(sequence(0, {SEGMENT - 1}), i -> shiftright(key, i) % 2 = 0), i -> key + shiftleft(1L, i)))"
 
 
 def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
@@ -64,8 +66,7 @@ def close_pairs(distinct: DataFrame, distance: int = 3) -> DataFrame:
         raise ValueError("two segments with balls of radius one cover distances 1 to 3")
     segments = F.array(F.shiftrightunsigned("fp", SEGMENT), F.col("fp").bitwiseAND(F.lit((1 << SEGMENT) - 1)))
     stored = distinct.select("fp", F.posexplode(segments).alias("segment", "key"))
-    ball = F.expr(f"concat(array(key), transform(filter(sequence(0, {SEGMENT - 1}), i -> shiftright(key, i) % 2 = 0), i -> key + shiftleft(1L, i)))")
-    probes = stored.select(F.col("fp").alias("u"), "segment", F.explode(ball).alias("key"))
+    probes = stored.select(F.col("fp").alias("u"), "segment", F.explode(F.expr(BALL)).alias("key"))
     apart = F.bit_count(F.col("u").bitwiseXOR(F.col("fp")))
     return probes.join(stored, ["segment", "key"]).filter((apart > 0) & (apart <= distance)).select("u", F.col("fp").alias("v"))
 
@@ -128,17 +129,16 @@ def _bits_apart(a: str, b: str) -> Column:
 
 
 def _candidates(classes: DataFrame, order: int) -> DataFrame:
-    """u, v: fingerprint classes and the leaders of the buckets that their Hamming balls meet, in at most two a bucket.
+    """u, v: fingerprint classes and the leaders of the buckets that their Hamming balls meet.
 
-    A bucket's leaders are its first and last class by a hash that `order` seeds: links grow with classes, not with pairs.
+    A bucket's leader is its first class by a hash that `order` seeds: links grow with classes, not with pairs. A ball is the
+    segment's value and those with one of its zero bits set; the other side of such a pair has the bit and needs no lookup.
     """
     halves = F.flatten(F.transform("search", lambda w: F.array(F.shiftrightunsigned(w, SEGMENT), w.bitwiseAND(F.lit((1 << SEGMENT) - 1)))))
     stored = classes.select("same", F.posexplode(halves).alias("segment", "key"))
     rank = F.struct(F.xxhash64("same", F.lit(order)).alias("rank"), "same")
-    leaders = stored.groupBy("segment", "key").agg(F.min(rank)["same"].alias("a"), F.max(rank)["same"].alias("b"))
-    leaders = leaders.select("segment", "key", F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
-    ball = F.expr(f"concat(array(key), transform(sequence(0, {SEGMENT - 1}), i -> key ^ shiftleft(1L, i)))")
-    probes = stored.select(F.col("same").alias("u"), "segment", F.explode(ball).alias("key"))
+    leaders = stored.groupBy("segment", "key").agg(F.min(rank)["same"].alias("v"))
+    probes = stored.select(F.col("same").alias("u"), "segment", F.explode(F.expr(BALL)).alias("key"))
     return probes.join(leaders, ["segment", "key"]).filter("u != v").select("u", "v").distinct()
 
 
