@@ -90,5 +90,5 @@ def read_plan_logs(spark: SparkSession, path: str) -> DataFrame:
             rows = [(p, i, d) for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for i, d in enumerate(embedded_documents(text or ""))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["path", "position", "document"])
 
-    logs = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    logs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return logs.mapInArrow(run, "path string, position long, document string")
