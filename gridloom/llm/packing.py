@@ -73,6 +73,8 @@ def difference(sizes: Sequence[int], windows: int) -> tuple[list[list[int]], int
 
 def pack(sizes: Sequence[int], capacity: int) -> list[list[int]]:
     """Windows of at most `capacity`; their number starts at the least possible and rises while one is too heavy."""
+    if len(sizes) and max(sizes) > capacity:
+        raise ValueError("a piece is longer than a window")
     windows = max(1, -(-sum(map(int, sizes)) // capacity))
     while True:
         dealt, heaviest = difference(sizes, windows)
@@ -169,7 +171,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 4096,
                 for at in range(0, len(texts), 500):
                     for doc, raw in zip(docs[at : at + 500], encode(texts[at : at + 500]), strict=True):
                         ids = np.frombuffer(raw + end, np.dtype("<u4"))
-                        for start, length in cuts(len(ids), PIECE):
+                        for start, length in cuts(len(ids), min(PIECE, capacity)):
                             yield doc, start, ids[start : start + length], len(ids)
 
         def rows_of(group: list[tuple]) -> list[tuple]:
