@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.plans.control import Intervention
+
 METRICS = {"actual_rows": "numOutputRows", "spill_bytes": "spillSize", "peak_memory": "peakMemory", "data_bytes": "dataSize", "shuffle_rows": "shuffleRecordsWritten", "shuffle_bytes": "shuffleBytesWritten"}
 SCHEMA = "node_id int, parent_node_id int, depth int, node_path string, node_type string, " + ", ".join(f"{m} long" for m in METRICS)
 
@@ -47,7 +49,9 @@ def profile(df: DataFrame) -> tuple[DataFrame, float]:
 
 def pushed_filters(df: DataFrame) -> list[str]:
     """What the scans say about filters that reached them."""
-    text = df._jdf.queryExecution().executedPlan().toString()
+    # Long descriptions are cut short otherwise.
+    with Intervention(df.sparkSession, {"spark.sql.maxMetadataStringLength": "100000"}):
+        text = df._jdf.queryExecution().executedPlan().toString()
     return [part.split("]")[0] for part in text.split("PushedFilters: [")[1:]]
 
 
