@@ -101,4 +101,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the operators that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_bm25": r"""
+with words as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) term from documents where doc_id is not null),
+tf as (select doc_id, term, count(*) n from words group by all), lengths as (select doc_id, cast(sum(n) as double) length from tf group by 1),
+totals as (select (select count(*) from documents where doc_id is not null) docs, (select sum(length) from lengths) / (select count(*) from documents where doc_id is not null) mean),
+df as (select term, count(*) df from tf group by 1),
+asked as (select doc_id query_id, term, n * ln(1 + (docs - df + 0.5) / (df + 0.5)) weight from tf join df using (term), totals where doc_id % 20 = 0),
+scored as (select query_id, tf.doc_id, round(sum(weight * (tf.n * 2.2 / (tf.n + 1.2 * (0.25 + 0.75 * length / mean)))), 9) score
+  from asked join tf using (term) join lengths on lengths.doc_id = tf.doc_id, totals group by 1, 2),
+ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as place from scored)
+select query_id, cast(place as int) as rank, doc_id, score from ranked where place <= 10""",
+}
