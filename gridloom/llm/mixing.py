@@ -131,16 +131,18 @@ def repeat_documents(documents: DataFrame, partitions: int) -> DataFrame:
     the mix doesn't take are left out, as are texts without words. Copies of one document follow each other a round apart.
     """
     mixed = mix(documents, key=True)
-    totals = durable(mixed.groupBy("key", "doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.min("position").alias("position"), F.count(F.lit(1)).alias("rows")).filter("taken > 0"), "mixing-taken")
-    keyed = documents.withColumn("mix_key", _key())
-    joined = keyed.join(totals.withColumnRenamed("doc_id", "mix_doc_id"), (F.col("mix_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("mix_doc_id")))
-    if not totals.filter("rows > 1").isEmpty():
-        joined = joined.dropDuplicates(["key", "mix_doc_id"])
-    copies = joined.select(*documents.columns, "size", "position", F.posexplode(copies_of(F.col("taken"), F.col("size"))).alias("mix_round", "mix_words"))
+    totals = mixed.groupBy(F.col("key").alias("__mix_key"), F.col("doc_id").alias("__mix_doc_id")).agg(F.sum("taken").alias("__mix_taken"), F.max("size").alias("__mix_size"), F.min("position").alias("__mix_position"), F.count(F.lit(1)).alias("__mix_rows"))
+    totals = durable(totals.filter("__mix_taken > 0"), "mixing-taken")
+    keyed = documents.withColumn("__mix_own", _key())
+    joined = keyed.join(totals, (F.col("__mix_own") == F.col("__mix_key")) & F.col("doc_id").eqNullSafe(F.col("__mix_doc_id")))
+    if not totals.filter("__mix_rows > 1").isEmpty():
+        joined = joined.dropDuplicates(["__mix_key", "__mix_doc_id"])
+    size = F.col("__mix_size")
+    copies = joined.select(*documents.columns, "__mix_size", "__mix_position", F.posexplode(copies_of(F.col("__mix_taken"), size)).alias("__mix_round", "__mix_words"))
     pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
-    text = F.when(F.col("mix_words") < F.col("size"), F.array_join(F.slice(pieces, 1, F.col("mix_words").cast("int")), "")).otherwise(F.col("text"))
+    text = F.when(F.col("__mix_words") < size, F.array_join(F.slice(pieces, 1, F.col("__mix_words").cast("int")), "")).otherwise(F.col("text"))
     copies = copies.withColumn("text", text)
     if "n_chars" in documents.columns:
         copies = copies.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    order = [F.col("position") + F.col("mix_round"), F.asc_nulls_last("doc_id")]
+    order = [F.col("__mix_position") + F.col("__mix_round"), F.asc_nulls_last("doc_id")]
     return copies.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select(*documents.columns)

@@ -90,6 +90,8 @@ def near_duplicates(documents: DataFrame, words: int = 3, distance: int = 3) ->
 
 #: 64-bit words of the search fingerprint (distinct words) and of the deciding one (five-word shingles).
 SEARCH_WORDS, DECIDE_WORDS = 4, 8
+#: Ids to drop that are broadcast, eight bytes each.
+BROADCAST_IDS = 1_000_000
 
 
 def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -183,8 +185,10 @@ def keep_first_of_group(documents: DataFrame, words: int = 5, similarity: float
     Rows that share a doc_id are one document, of which one row stays. Rows without a doc_id stay.
     """
     groups = durable(near_copy_groups(documents, words, similarity), "groups")
-    dropped = groups.filter("group_id != doc_id").select("doc_id").distinct()
-    kept = documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
+    dropped = durable(groups.filter("group_id != doc_id").select("doc_id").distinct(), "dropped")
+    # Few enough ids go to every task, and the texts stay where they are; more are joined by shuffling.
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    kept = documents.join(side, "doc_id", "left_anti").select(*documents.columns)
     if groups.groupBy("doc_id").count().filter("count > 1").isEmpty():
         return kept
     return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

@@ -179,9 +179,9 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
 
     A document of which nothing is left stays with an empty text. Rows without repeats keep their texts untouched, nulls too.
     """
-    repeats = repeated_chunks(doc_and_text(documents)).withColumnRenamed("doc_id", "repeats_doc_id")
-    joined = documents.join(repeats, documents["doc_id"] == repeats["repeats_doc_id"], "left")
-    plain = joined.filter("repeats is null").select(*documents.columns)
+    repeats = repeated_chunks(doc_and_text(documents)).select(F.col("doc_id").alias("__repeats_doc_id"), F.col("repeats").alias("__repeats"))
+    joined = documents.join(repeats, documents["doc_id"] == repeats["__repeats_doc_id"], "left")
+    plain = joined.filter("__repeats is null").select(*documents.columns)
     names = documents.columns
     place = names.index("text")
 
@@ -191,7 +191,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
         columns[place] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    cut = map_batches(joined.filter("repeats is not null").select(*documents.columns, "repeats"), run, documents.schema)
+    cut = map_batches(joined.filter("__repeats is not null").select(*documents.columns, "__repeats"), run, documents.schema)
     if "n_chars" in documents.columns:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType)).select(*documents.columns)
     return plain.unionByName(cut)
