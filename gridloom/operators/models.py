@@ -164,3 +164,32 @@ def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("rn_ = 1").drop("rn_")
+
+
+def fuzzifier_sensitivity(df: DataFrame, centers: np.ndarray, fuzzifiers: list[float]) -> DataFrame:
+    """Quality of the memberships from fixed centers for each fuzzifier."""
+    parts = [fuzzy_quality(memberships(df, centers, m), len(centers)).withColumn("fuzzifier", F.lit(m)) for m in fuzzifiers]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def kmeans(df: DataFrame, k: int, seed: int = 1, iterations: int = 50) -> DataFrame:
+    """df with `cluster`, by k-means on `vector`."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    made = df.withColumn("ml_vector", array_to_vector("vector"))
+    fitted = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="ml_vector", predictionCol="cluster").fit(made)
+    return fitted.transform(made).drop("ml_vector")
+
+
+def regress(df: DataFrame, features: list[str], target: str, kind: str, **options) -> DataFrame:
+    """df with `prediction`, by 'elastic_net' or 'boosted_trees' regression."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
+
+    made = VectorAssembler(inputCols=features, outputCol="ml_features").transform(df)
+    model = {"elastic_net": LinearRegression, "boosted_trees": GBTRegressor}[kind](featuresCol="ml_features", labelCol=target, **options)
+    return model.fit(made).transform(made).drop("ml_features")

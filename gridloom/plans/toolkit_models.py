@@ -481,3 +481,36 @@ def _(c):
     return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.corr("d", "r"), 5).alias("correlation"), F.round(F.avg(F.when(F.col("r") == 0, F.col("d"))), 5).alias("same_label_distance"))
 
 
+
+
+def fuzzifier_sql(m: float) -> str:
+    power = -1 / (m - 1)
+    return f"select cast({m} as double) fuzzifier, round(avg(s), 6) partition_coefficient, round(1 - (4 / 3.0) * (1 - avg(s)), 6) modified_coefficient, round(avg(e), 6) partition_entropy from (select id, sum(u * u) s, sum(-u * ln(u)) e from (select id, power(d, {power}) / sum(power(d, {power})) over (partition by id) u from fcm_d) group by 1)"
+
+
+@register("fcm_fuzzifier_sensitivity", f"with {VECTORS}, {CENTERS}, {FCM_D} " + " union all ".join(map(fuzzifier_sql, (1.5, 1.7, 2.0))))
+def _(c):
+    return models.fuzzifier_sensitivity(vectors(c), start_centers(c, 4), [1.5, 1.7, 2.0])
+
+
+@register("kmeans_clusters")
+def _(c):
+    return models.kmeans(vectors(c), 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("regression_elastic_net")
+def _(c):
+    rows = vectors(c).select(F.col("vector")[0].alias("a"), F.col("vector")[1].alias("b"), F.col("label").cast("double").alias("y"))
+    return models.regress(rows, ["a", "b"], "y", "elastic_net", regParam=0.1, elasticNetParam=0.5)
+
+
+@register("regression_boosted_trees")
+def _(c):
+    rows = vectors(c).select(F.col("vector")[0].alias("a"), F.col("vector")[1].alias("b"), F.col("label").cast("double").alias("y"))
+    return models.regress(rows, ["a", "b"], "y", "boosted_trees", maxIter=5, maxDepth=3, seed=1)
+
+
+@register("plan_text_nodes")
+def _(c):
+    text = F.concat(F.lit("Aggregate  (cost=1..2 rows=1 width=8) (actual time=0.1..0.2 rows="), F.col("n_nationkey").cast("string"), F.lit(" loops=1)\n  ->  Seq Scan on events  (cost=0..1 rows=10 width=4) (actual time=0.0..0.1 rows=10 loops=2)"))
+    return structure.text_plan_nodes(c.table("nation").select(F.col("n_nationkey").cast("string").alias("plan_id"), text.alias("text")))
