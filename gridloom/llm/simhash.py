@@ -8,10 +8,12 @@ one of its zero bits set (the other side of such a pair needs no lookup). Matche
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import doc_and_text, durable, map_batches, texts_of
@@ -88,89 +90,137 @@ def near_duplicates(documents: DataFrame, words: int = 3, distance: int = 3) ->
 
 # --- Near copies by word-shingle similarity ------------------------------------------------------------------------------
 
-#: 64-bit words of the search fingerprint (distinct words) and of the deciding one (five-word shingles).
-SEARCH_WORDS, DECIDE_WORDS = 4, 8
-#: Ids to drop that are broadcast, eight bytes each.
+#: Ids that are broadcast, eight bytes each.
 BROADCAST_IDS = 1_000_000
+#: Documents and frequent shingles (in FREQUENT_DOCS of them or more) by which shingles are ordered. Any order gives the same result.
+ORDER_DOCS, ORDER_SHINGLES, FREQUENT_DOCS = 10_000, 100_000, 3
+LONGS = pa.list_(pa.int64())
+
+
+def _set(text: str, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def _same(text: str) -> int:
+    """A hash of the words, lower-cased."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(text.encode().translate(LOWER).split()))).view(np.int64))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """Of sets in one order of elements: two of at least that similarity share an element among the first so many of each."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _frequent(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles (sorted) and their counts, from a fixed choice of documents: they come last in the order of shingles."""
+    one_of = max(1, documents.count() // ORDER_DOCS)
+    chosen = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([_set(t, words).view(np.int64) for t in texts_of(batch)], LONGS)], names=["shingles"])
 
+    counts = map_batches(doc_and_text(chosen), run, "shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    rows = counts.filter(F.col("count") >= FREQUENT_DOCS).orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).collect()
+    found, often = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    order = np.argsort(found)
+    return found[order], often[order]
 
-def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
-    """Majority bits over hashes, 64 for each of `words` mixes of every hash, as signed longs."""
-    if not len(hashes):
-        return np.zeros(words, np.int64)
-    ones = np.empty((words, 64), np.int64)
-    for i in range(words):
-        mixed = (hashes ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        ones[i] = np.unpackbits(mixed.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes), axis=1).view(">i8").astype(np.int64).reshape(words)
 
+def prefixes(documents: DataFrame, words: int, similarity: float) -> DataFrame:
+    """doc_id, same, n (distinct shingles), prefix (the first of them, rare ones before frequent ones) of every whole text."""
+    frequent, often = _frequent(documents, words)
 
-def sketches(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, same (a hash of the words, lower-cased), search, decide: fingerprints of every whole text."""
+    def first(found: np.ndarray) -> np.ndarray:
+        if not len(found):
+            return found.view(np.int64)
+        count = np.zeros(len(found), np.int64)
+        if len(frequent):
+            at = np.searchsorted(frequent, found).clip(max=len(frequent) - 1)
+            count = np.where(frequent[at] == found, often[at], 0)
+        return found[np.lexsort((found, count))[: prefix_length(len(found), similarity)]].view(np.int64)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        same, search, decide = [], [], []
-        for text in texts_of(batch):
-            found = text.encode().translate(LOWER).split()
-            same.append(int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(found))).view(np.int64)))
-            single = np.array([xxhash.xxh3_64_intdigest(w) for w in set(found)], np.uint64)
-            search.append(_spread(single, SEARCH_WORDS))
-            decide.append(_spread(np.unique(np.array(shingle_hashes(text, words), np.uint64)), DECIDE_WORDS))
-        longs = pa.list_(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.int64()), pa.array(search, longs), pa.array(decide, longs)], names=["doc_id", "same", "search", "decide"])
+        texts = texts_of(batch)
+        sets = [_set(t, words) for t in texts]
+        columns = [batch.column(0), pa.array(map(_same, texts), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(first, sets), LONGS)]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "prefix"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, search array<long>, decide array<long>")
+    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, n int, prefix array<long>")
+
+
+def _sets(documents: DataFrame, needed: DataFrame, words: int) -> DataFrame:
+    """same, shingles of the needed classes (same, first), from the texts of their first documents."""
+    firsts = needed.select(F.col("first").alias("doc_id")).distinct()
+    side = F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = texts_of(batch)
+        return pa.RecordBatch.from_arrays([pa.array(map(_same, texts), pa.int64()), pa.array([_set(t, words).view(np.int64) for t in texts], LONGS)], names=["same", "shingles"])
 
+    made = map_batches(doc_and_text(documents).join(side, "doc_id", "left_semi"), run, "same long, shingles array<long>")
+    return made.join(needed, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles"))
 
-def _bits_apart(a: str, b: str) -> Column:
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
 
+def _may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """Of postings a and b of one shingle, by sizes and places in the order: false only if the sets can't be that similar."""
+    most = F.least(f"{a}.place", f"{b}.place") + 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place")) - 1
+    return most * (1 + similarity) >= similarity * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
 
-def _candidates(classes: DataFrame, order: int) -> DataFrame:
-    """u, v: fingerprint classes and the leaders of the buckets that their Hamming balls meet.
 
-    A bucket's leader is its first class by a hash that `order` seeds: links grow with classes, not with pairs. A ball is the
-    segment's value and those with one of its zero bits set; the other side of such a pair has the bit and needs no lookup.
+def _leader_pairs(postings: DataFrame, similarity: float, order: int) -> DataFrame:
+    """u, v: members of a shingle's postings and its leader, where they are not yet in one component.
+
+    A leader is the first member by a hash that `order` seeds: rows grow with postings, not with pairs.
     """
-    halves = F.flatten(F.transform("search", lambda w: F.array(F.shiftrightunsigned(w, SEGMENT), w.bitwiseAND(F.lit((1 << SEGMENT) - 1)))))
-    stored = classes.select("same", F.posexplode(halves).alias("segment", "key"))
-    rank = F.struct(F.xxhash64("same", F.lit(order)).alias("rank"), "same")
-    leaders = stored.groupBy("segment", "key").agg(F.min(rank)["same"].alias("v"))
-    probes = stored.select(F.col("same").alias("u"), "segment", F.explode(F.expr(BALL)).alias("key"))
-    return probes.join(leaders, ["segment", "key"]).filter("u != v").select("u", "v").distinct()
+    rank = F.struct(F.xxhash64("same", F.lit(order)).alias("rank"), "same", "n", "place", "component")
+    leaders = postings.groupBy("key").agg(F.min(rank).alias("l")).select("key", "l.*")
+    met = postings.alias("a").join(leaders.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & _may_be_alike("a", "b", similarity))
+    return met.select(F.col("a.same").alias("u"), F.col("b.same").alias("v")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are at least that similar, exactly."""
+    left = sets.select(F.col("same").alias("u"), F.col("shingles").alias("su"))
+    right = sets.select(F.col("same").alias("v"), F.col("shingles").alias("sv"))
+    both = F.size(F.array_intersect("su", "sv"))
+    return pairs.join(left, "u").join(right, "v").filter(both * (1 + similarity) >= similarity * (F.size("su") + F.size("sv")) - 1e-9).select("u", "v")
+
+
+def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Postings with their components, of shingles whose members are not all in one."""
+    if roots is None:
+        labelled = postings.withColumn("component", F.col("same"))
+    else:
+        labelled = postings.join(roots, postings["same"] == roots["node"], "left").select(*postings.columns, F.coalesce("root", "same").alias("component"))
+    everyone = Window.partitionBy("key")
+    return labelled.withColumn("lo", F.min("component").over(everyone)).withColumn("hi", F.max("component").over(everyone)).filter("lo < hi").drop("lo", "hi")
 
 
 def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group_id (least doc_id of its group) of every document with a doc_id.
 
-    Texts of equal words are one class. Classes are linked when the deciding fingerprints, over distinct shingles of `words`
-    words, are as close as sets of that Jaccard similarity are expected to be, and a standard deviation more. Links are looked for
-    among the leaders of shared buckets, then again, with other leaders, among the classes that are still apart, until none is found.
+    Texts of equal words are one class. Classes are linked when the sets of their shingles of `words` words have at least that
+    Jaccard similarity. Such sets share a shingle of their prefixes; rounds compare the members of a prefix shingle's postings with a
+    leader, then with another among those still apart, until few links are found.
     """
-    prints = durable(sketches(documents.filter("doc_id is not null"), words), "sketches")
-    classes = durable(prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("search").alias("search"), F.first("decide").alias("decide")), "classes")
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    bits = 64 * DECIDE_WORDS
-    limit = int(share * bits + np.sqrt(bits * share * (1 - share)))
-    left = classes.select(F.col("same").alias("u"), F.col("decide").alias("du"))
-    right = classes.select(F.col("same").alias("v"), F.col("decide").alias("dv"))
-    links, active, order = None, classes, 0
+    documents = documents.filter("doc_id is not null")
+    prints = durable(prefixes(documents, words, similarity), "prefixes")
+    classes = durable(prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    postings = durable(_open(classes.select("same", "n", F.posexplode("prefix").alias("place", "key")), None).drop("component"), "postings")
+    needed = durable(classes.select("same", "first").join(postings.select("same").distinct(), "same", "left_semi"), "needed")
+    sets = durable(_sets(documents, needed, words), "sets")
+    links, roots, order, few = None, None, 0, needed.count() // 200
     while True:
-        pairs = durable(_candidates(active, order), "candidates")
-        close = pairs.join(left, "u").join(right, "v").filter(_bits_apart("du", "dv") <= limit).select("u", "v")
-        found = durable(close, "links")
-        if found.isEmpty():
+        open_postings = durable(_open(postings, roots), "open")
+        pairs = durable(_leader_pairs(open_postings, similarity, order), "candidates")
+        found = durable(_alike(pairs, sets, similarity), "links")
+        n = found.count()
+        if n:
+            links = found if links is None else links.union(found)
+            roots = connected_components(links)
+        if n <= few:
             break
-        links = found if links is None else links.union(found)
-        roots = connected_components(links)
-        # Still apart: the roots and loners among the classes that share a bucket with another.
-        mates = pairs.select("u").union(pairs.select("v")).distinct()
-        apart = mates.join(roots, F.col("u") == F.col("node"), "left_anti")
-        active = durable(classes.join(apart, classes["same"] == apart["u"], "left_semi"), "apart")
         order += 1
     if links is None:
         return prints.join(classes, "same").select("doc_id", F.col("first").alias("group_id"))

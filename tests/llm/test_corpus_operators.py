@@ -478,6 +478,37 @@ def test_near_copies_go_and_others_stay(spark, docs, empty):
     assert simhash.keep_first_of_group(empty).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark):
+    """Appended, truncated, block-edited and scattered copies at similarity 0.8 and more: every one is found, and no other."""
+    rng, table = random.Random(4), []
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(3000)}" for _ in range(n)]
+    for g in range(60):
+        words = fresh(rng.randrange(60, 400))
+        n, cut = len(words), rng.randrange(2, 12)
+        part = n * cut // 50
+        at = rng.randrange(n - part)
+        scattered = list(words)
+        for _ in range(max(1, n // 60)):
+            scattered[rng.randrange(n)] = fresh(1)[0]
+        for k, copy in enumerate((words, words + fresh(part), words[: n - part], words[:at] + fresh(part) + words[at + part :], scattered)):
+            table.append((g * 10 + k, " ".join(copy)))
+    sets = {d: shingles(t) for d, t in table}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sets:
+        for b in range(a // 10 * 10, a):
+            if b in sets and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((root(a), root(b)))
+                parent[high] = low
+    got = {r.doc_id: r.group_id for r in simhash.near_copy_groups(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {d: root(d) for d in sets} and len(set(got.values())) > 60
+
+
 # --- 10 search
 
 
