@@ -94,6 +94,8 @@ def near_duplicates(documents: DataFrame, words: int = 3, distance: int = 3) ->
 BROADCAST_IDS = 1_000_000
 #: Documents and frequent shingles (in FREQUENT_DOCS of them or more) by which shingles are ordered. Any order gives the same result.
 ORDER_DOCS, ORDER_SHINGLES, FREQUENT_DOCS = 10_000, 100_000, 3
+#: Members of a shingle's postings that are compared with all others in one task.
+POSTINGS_BLOCK = 512
 LONGS = pa.list_(pa.int64())
 
 
@@ -179,6 +181,18 @@ def _leader_pairs(postings: DataFrame, similarity: float, order: int) -> DataFra
     return met.select(F.col("a.same").alias("u"), F.col("b.same").alias("v")).distinct()
 
 
+def _all_pairs(postings: DataFrame, similarity: float) -> DataFrame:
+    """u, v: all pairs of members of a shingle's postings that are not yet in one component.
+
+    Long postings are cut into blocks, each of which meets all members; what can't be alike is left out within the join.
+    """
+    sized = postings.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / POSTINGS_BLOCK))
+    a = sized.withColumn("block", F.pmod(F.xxhash64("same"), "blocks")).alias("a")
+    b = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("b")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") < F.col("b.component"))
+    return a.join(b, on & _may_be_alike("a", "b", similarity)).select(F.col("a.same").alias("u"), F.col("b.same").alias("v")).distinct()
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose shingle sets are at least that similar, exactly."""
     left = sets.select(F.col("same").alias("u"), F.col("shingles").alias("su"))
@@ -202,7 +216,8 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
 
     Texts of equal words are one class. Classes are linked when the sets of their shingles of `words` words have at least that
     Jaccard similarity. Such sets share a shingle of their prefixes; rounds compare the members of a prefix shingle's postings with a
-    leader, then with another among those still apart, until few links are found.
+    leader, then with another among those still apart, until few links are found, which keeps large groups from making pairs. At the
+    end all members that are still apart are compared with each other, so that no pair is left out.
     """
     documents = documents.filter("doc_id is not null")
     prints = durable(prefixes(documents, words, similarity), "prefixes")
@@ -210,18 +225,18 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
     postings = durable(_open(classes.select("same", "n", F.posexplode("prefix").alias("place", "key")), None).drop("component"), "postings")
     needed = durable(classes.select("same", "first").join(postings.select("same").distinct(), "same", "left_semi"), "needed")
     sets = durable(_sets(documents, needed, words), "sets")
-    links, roots, order, few = None, None, 0, needed.count() // 200
+    links, roots, order, few, last = None, None, 0, needed.count() // 200, False
     while True:
         open_postings = durable(_open(postings, roots), "open")
-        pairs = durable(_leader_pairs(open_postings, similarity, order), "candidates")
+        pairs = durable(_all_pairs(open_postings, similarity) if last else _leader_pairs(open_postings, similarity, order), "candidates")
         found = durable(_alike(pairs, sets, similarity), "links")
         n = found.count()
         if n:
             links = found if links is None else links.union(found)
             roots = connected_components(links)
-        if n <= few:
+        if last:
             break
-        order += 1
+        order, last = order + 1, n <= few
     if links is None:
         return prints.join(classes, "same").select("doc_id", F.col("first").alias("group_id"))
     labelled = durable(classes.join(roots, classes["same"] == roots["node"], "left").select("same", "first", F.coalesce("root", "same").alias("root")), "labelled")

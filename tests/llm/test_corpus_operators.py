@@ -509,6 +509,21 @@ def test_near_copies_equal_brute_force(spark):
     assert got == {d: root(d) for d in sets} and len(set(got.values())) > 60
 
 
+def test_near_copies_beside_unlike_leaders(spark, monkeypatch):
+    """Two near copies whose shingles are shared with many unlike documents are compared with each other as well."""
+    monkeypatch.setattr(simhash, "FREQUENT_DOCS", 10**9)
+    monkeypatch.setattr(simhash, "POSTINGS_BLOCK", 5)
+    rng, table = random.Random(6), []
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    for g in range(8):
+        words = fresh(200)
+        others = [words[:100] + fresh(100) for _ in range(15)] + [fresh(100) + words[100:] for _ in range(15)]
+        for k, copy in enumerate([words, words + fresh(4), *others]):
+            table.append((g * 100 + k, " ".join(copy)))
+    got = {r.doc_id: r.group_id for r in simhash.near_copy_groups(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {d: d - 1 if d % 100 == 1 else d for d, _ in table}
+
+
 # --- 10 search
 
 
