@@ -71,7 +71,7 @@ def _key() -> Column:
 
 
 def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: int = 3, slopes: tuple[float, ...] = SLOPES, key: bool = False) -> DataFrame:
-    """One row a document: doc_id, size, source, source_size, target, taken, position, and `key`, its hash, if asked for.
+    """One row a document: doc_id, size, source, source_size, target, taken, position; if asked for, `key`, its hash, and start, goal and slope.
 
     taken counts words with repeats, 0 to max_repeats * size: a source's target is dealt out along the documents in the order
     of a hash of doc_id, source and text, whole rounds first; the last document taken may be taken in part, so a source's taken
@@ -108,7 +108,8 @@ def mix(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     placed = placed.withColumn("taken", (F.col("rounds") * F.col("size") + rest).cast("long"))
     share = F.when(F.col("goal") > 0, F.col("start") / F.col("goal"))
     placed = placed.withColumn("position", F.when(F.col("taken") > 0, _position(F.least(share, F.lit(1.0)), _cycle(F.col("rank"), slopes))))
-    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "position", *(["key"] if key else []))
+    placed = placed.withColumn("slope", _cycle(F.col("rank"), slopes))
+    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", "position", *(["key", "start", "goal", "slope"] if key else []))
 
 
 def training_order(mixed: DataFrame, partitions: int) -> DataFrame:
@@ -128,21 +129,26 @@ def repeat_documents(documents: DataFrame, partitions: int) -> DataFrame:
     """The documents of the mix with their columns, each as often as it is taken, range-sorted by training position.
 
     A copy that is taken in part has the text's first words, with the white space before each, and its n_chars. Documents that
-    the mix doesn't take are left out, as are texts without words. Copies of one document follow each other a round apart.
+    the mix doesn't take are left out, as are texts without words. Each copy has the training time of its own first word.
     """
     mixed = mix(documents, key=True)
-    totals = mixed.groupBy(F.col("key").alias("__mix_key"), F.col("doc_id").alias("__mix_doc_id")).agg(F.sum("taken").alias("__mix_taken"), F.max("size").alias("__mix_size"), F.min("position").alias("__mix_position"), F.count(F.lit(1)).alias("__mix_rows"))
+    one = [F.max(x).alias(f"__mix_{x}") for x in ("size", "source_size", "goal", "slope")]
+    totals = mixed.groupBy(F.col("key").alias("__mix_key"), F.col("doc_id").alias("__mix_doc_id")).agg(F.sum("taken").alias("__mix_taken"), F.min("start").alias("__mix_start"), F.count(F.lit(1)).alias("__mix_rows"), *one)
     totals = durable(totals.filter("__mix_taken > 0"), "mixing-taken")
     keyed = documents.withColumn("__mix_own", _key())
     joined = keyed.join(totals, (F.col("__mix_own") == F.col("__mix_key")) & F.col("doc_id").eqNullSafe(F.col("__mix_doc_id")))
     if not totals.filter("__mix_rows > 1").isEmpty():
         joined = joined.dropDuplicates(["__mix_key", "__mix_doc_id"])
     size = F.col("__mix_size")
-    copies = joined.select(*documents.columns, "__mix_size", "__mix_position", F.posexplode(copies_of(F.col("__mix_taken"), size)).alias("__mix_round", "__mix_words"))
+    copies = joined.select(*documents.columns, "__mix_size", "__mix_source_size", "__mix_goal", "__mix_slope", "__mix_start", "__mix_rows", F.posexplode(copies_of(F.col("__mix_taken"), size)).alias("__mix_round", "__mix_words"))
+    # Equal rows follow each other within a round over the source.
+    nth = F.floor(F.col("__mix_round") / F.col("__mix_rows")) * F.col("__mix_source_size") + F.col("__mix_round") % F.col("__mix_rows") * size
+    share = (F.col("__mix_start") + nth) / F.col("__mix_goal")
+    copies = copies.withColumn("__mix_position", _position(F.least(share, F.lit(1.0)), F.col("__mix_slope")))
     pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     text = F.when(F.col("__mix_words") < size, F.array_join(F.slice(pieces, 1, F.col("__mix_words").cast("int")), "")).otherwise(F.col("text"))
     copies = copies.withColumn("text", text)
     if "n_chars" in documents.columns:
         copies = copies.withColumn("n_chars", F.char_length("text").cast(documents.schema["n_chars"].dataType))
-    order = [F.col("__mix_position") + F.col("__mix_round"), F.asc_nulls_last("doc_id")]
+    order = [F.asc_nulls_last("__mix_position"), F.asc_nulls_last("doc_id")]
     return copies.repartitionByRange(partitions, *order).sortWithinPartitions(*order).select(*documents.columns)

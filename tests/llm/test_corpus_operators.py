@@ -392,6 +392,27 @@ def test_mixing_repeats_documents(spark, docs, empty):
     assert mixing.repeat_documents(empty, 2).count() == 0 and mixing.repeat_documents(docs, 2).count() > 0
 
 
+def test_mixing_places_every_copy_on_the_schedule(spark):
+    """A source that is taken three times is spread over the whole training, not over its end."""
+    table = [(d, "a" if d >= 400 else "b", f"w{d} x y z") for d in range(440)]
+    small = spark.createDataFrame(table, "doc_id long, source string, text string")
+    order = [r.doc_id for r in mixing.repeat_documents(small, 1).collect()]
+    seen = [i / len(order) for i, d in enumerate(order) if d >= 400]
+    assert len(seen) == 120 and min(seen) < 0.1 and max(seen) > 0.9
+    thirds = [sum(a <= x < a + 1 / 3 for x in seen) for a in (0, 1 / 3, 2 / 3)]
+    assert min(thirds) > 20
+    place = {(r.doc_id, r.source): r for r in mixing.mix(small, key=True).collect()}
+    want = []
+    for r in place.values():
+        copies = -(-r.taken // r.size)
+        for k in range(copies):
+            share = min(1, (r.start + k * r.source_size) / r.goal)
+            bend = r.slope - 1
+            t = share if bend == 0 else abs((math.sqrt(1 + 2 * bend * share * (1 + bend / 2)) - 1) / bend)
+            want.append((round(t, 9), r.doc_id))
+    assert order == [d for _, d in sorted(want)]
+
+
 def test_schedules_invert():
     share = np.linspace(0, 1, 11)
     for slope in (2.0, 0.5):
