@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import doc_and_text, durable, map_batches, texts_of
+from gridloom.llm.common import doc_and_text, drop_path, durable, map_batches, texts_of
 from gridloom.llm.components import connected_components
 
 #: A-Z to a-z, other bytes as they are.
@@ -211,6 +211,13 @@ def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return labelled.withColumn("lo", F.min("component").over(everyone)).withColumn("hi", F.max("component").over(everyone)).filter("lo < hi").drop("lo", "hi")
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Deletes durable tables that are read no more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, folder)
+
+
 def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group_id (least doc_id of its group) of every document with a doc_id.
 
@@ -220,22 +227,29 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
     end all members that are still apart are compared with each other, so that no pair is left out.
     """
     documents = documents.filter("doc_id is not null")
-    prints = durable(prefixes(documents, words, similarity), "prefixes")
-    classes = durable(prints.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
-    postings = durable(_open(classes.select("same", "n", F.posexplode("prefix").alias("place", "key")), None).drop("component"), "postings")
-    needed = durable(classes.select("same", "first").join(postings.select("same").distinct(), "same", "left_semi"), "needed")
-    sets = durable(_sets(documents, needed, words), "sets")
-    links, roots, order, few, last = None, None, 0, needed.count() // 200, False
+    found = durable(prefixes(documents, words, similarity), "prefixes")
+    prints = durable(found.select("doc_id", "same"), "prints")
+    classes = durable(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "classes")
+    arrays = found.groupBy("same").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    postings = durable(_open(arrays.select("same", "n", F.posexplode("prefix").alias("place", "key")), None), "postings")
+    _drop(found)
+    links, roots, order, few, last = None, None, 0, classes.count() // 200, False
     while True:
-        open_postings = durable(_open(postings, roots), "open")
-        pairs = durable(_all_pairs(open_postings, similarity) if last else _leader_pairs(open_postings, similarity, order), "candidates")
+        pairs = durable(_all_pairs(postings, similarity) if last else _leader_pairs(postings, similarity, order), "candidates")
+        asked = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
+        sets = durable(_sets(documents, durable(classes.join(asked, "same", "left_semi"), "asked"), words), "sets")
         found = durable(_alike(pairs, sets, similarity), "links")
+        _drop(sets, pairs)
         n = found.count()
         if n:
             links = found if links is None else links.union(found)
             roots = connected_components(links)
         if last:
+            _drop(postings)
             break
+        if n:
+            before, postings = postings, durable(_open(postings.drop("component"), roots), "postings")
+            _drop(before)
         order, last = order + 1, n <= few
     if links is None:
         return prints.join(classes, "same").select("doc_id", F.col("first").alias("group_id"))
