@@ -9,6 +9,7 @@ one of its zero bits set (the other side of such a pair needs no lookup). Matche
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -151,17 +152,33 @@ def prefixes(documents: DataFrame, words: int, similarity: float) -> DataFrame:
     return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, n int, prefix array<long>")
 
 
-def _sets(documents: DataFrame, needed: DataFrame, words: int) -> DataFrame:
-    """same, shingles of the needed classes (same, first), from the texts of their first documents."""
+def _drop(*tables: DataFrame) -> None:
+    """Deletes durable tables that are read no more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            drop_path(df.sparkSession, folder)
+
+
+def _bins(found: np.ndarray) -> np.ndarray:
+    """How many elements of a set fall into each of 256 bins: two sets share at most the sum of the lesser counts."""
+    return np.bincount((found >> np.uint64(56)).astype(np.int64), minlength=256)
+
+
+def _elements(found: np.ndarray) -> np.ndarray:
+    return found.view(np.int64)
+
+
+def _sets(documents: DataFrame, needed: DataFrame, words: int, view: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """same, view (of the shingles) of the needed classes (same, first), from the texts of their first documents."""
     firsts = needed.select(F.col("first").alias("doc_id")).distinct()
     side = F.broadcast(firsts) if firsts.count() <= BROADCAST_IDS else firsts
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
-        return pa.RecordBatch.from_arrays([pa.array(map(_same, texts), pa.int64()), pa.array([_set(t, words).view(np.int64) for t in texts], LONGS)], names=["same", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array(map(_same, texts), pa.int64()), pa.array([view(_set(t, words)) for t in texts], LONGS)], names=["same", "view"])
 
-    made = map_batches(doc_and_text(documents).join(side, "doc_id", "left_semi"), run, "same long, shingles array<long>")
-    return made.join(needed, "same", "left_semi").groupBy("same").agg(F.first("shingles").alias("shingles"))
+    made = map_batches(doc_and_text(documents).join(side, "doc_id", "left_semi"), run, "same long, view array<long>")
+    return made.join(needed, "same", "left_semi").groupBy("same").agg(F.first("view").alias("view"))
 
 
 def _may_be_alike(a: str, b: str, similarity: float) -> Column:
@@ -193,12 +210,20 @@ def _all_pairs(postings: DataFrame, similarity: float) -> DataFrame:
     return a.join(b, on & _may_be_alike("a", "b", similarity)).select(F.col("a.same").alias("u"), F.col("b.same").alias("v")).distinct()
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are at least that similar, exactly."""
-    left = sets.select(F.col("same").alias("u"), F.col("shingles").alias("su"))
-    right = sets.select(F.col("same").alias("v"), F.col("shingles").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(left, "u").join(right, "v").filter(both * (1 + similarity) >= similarity * (F.size("su") + F.size("sv")) - 1e-9).select("u", "v")
+def _alike(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are at least that similar, exactly; counts in bins first rule out most of the others."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n)
+    counted = total(F.zip_with("su", "sv", lambda x, y: F.least(x, y))), total(F.col("su")) + total(F.col("sv"))
+    exact = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
+    for view, (both, sizes) in ((_bins, counted), (_elements, exact)):
+        asked = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
+        sets = durable(_sets(documents, durable(classes.join(asked, "same", "left_semi"), "asked"), words, view), "sets")
+        left = sets.select(F.col("same").alias("u"), F.col("view").alias("su"))
+        right = sets.select(F.col("same").alias("v"), F.col("view").alias("sv"))
+        close = pairs.join(left, "u").join(right, "v").filter(both * (1 + similarity) >= similarity * sizes - 1e-9).select("u", "v")
+        before, pairs = pairs, durable(close, "links")
+        _drop(sets, before)
+    return pairs
 
 
 def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -211,13 +236,6 @@ def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return labelled.withColumn("lo", F.min("component").over(everyone)).withColumn("hi", F.max("component").over(everyone)).filter("lo < hi").drop("lo", "hi")
 
 
-def _drop(*tables: DataFrame) -> None:
-    """Deletes durable tables that are read no more."""
-    for df in tables:
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            drop_path(df.sparkSession, folder)
-
-
 def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group_id (least doc_id of its group) of every document with a doc_id.
 
@@ -236,10 +254,7 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
     links, roots, order, few, last = None, None, 0, classes.count() // 200, False
     while True:
         pairs = durable(_all_pairs(postings, similarity) if last else _leader_pairs(postings, similarity, order), "candidates")
-        asked = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
-        sets = durable(_sets(documents, durable(classes.join(asked, "same", "left_semi"), "asked"), words), "sets")
-        found = durable(_alike(pairs, sets, similarity), "links")
-        _drop(sets, pairs)
+        found = _alike(pairs, documents, classes, words, similarity)
         n = found.count()
         if n:
             links = found if links is None else links.union(found)
