@@ -251,7 +251,7 @@ def _(c):
 
 @register("fcm_fit")
 def _(c):
-    centers, objective, steps = models.fit_fcm(vectors(c, 4), start_centers(c, 3, 4), iterations=12)
+    centers, objective, steps = models.fit_fcm(vectors(c, 64), start_centers(c, 3, 64), iterations=12)
     return c.spark.createDataFrame([(i, [float(v) for v in row], float(objective), steps) for i, row in enumerate(centers)], "cluster int, center array<double>, objective double, steps int")
 
 
@@ -495,7 +495,7 @@ def _(c):
 
 @register("kmeans_clusters")
 def _(c):
-    return models.kmeans(vectors(c), 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return models.kmeans(vectors(c, 64), 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("regression_elastic_net")

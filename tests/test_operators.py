@@ -265,3 +265,13 @@ def test_streaming_rollup(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "in")).groupBy("tenant_id", F.date_trunc("day", "created_at").alias("window_start")).agg(F.count(F.lit(1)).alias("n"))
     joined = got.join(batch, ["tenant_id", "window_start"])
     assert got.count() > 0 and joined.count() == got.count() and joined.filter("n <> events_count").count() == 0
+
+
+def test_fits_use_whole_embeddings(spark, data, monkeypatch):
+    from gridloom.operators import models
+    from gridloom.plans.queries import catalogue
+
+    queries, seen, kmeans = catalogue()[0], [], models.kmeans
+    monkeypatch.setattr(models, "kmeans", lambda rows, k: seen.append(len(rows.first()["vector"])) or kmeans(rows, k))
+    assert queries["kmeans_clusters"](spark, data).count() > 0 and seen == [64]
+    assert {len(r.center) for r in queries["fcm_fit"](spark, data).collect()} == {64}
