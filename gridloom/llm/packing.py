@@ -18,17 +18,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import doc_and_text, small_batches, texts_of
+from gridloom.llm.common import doc_and_text, small_batches
 from gridloom.llm.encoding import encoder
 
-#: Windows of a full group, the longest piece a document is cut into, and tokens a window leaves free for imbalance.
+#: Windows of a full group, and tokens a window leaves free for imbalance.
 GROUP_WINDOWS = 64
-PIECE = 1024
 SLACK = 16
-#: Words whose ids a worker remembers; no shuffle shares an executor's memory with it here.
-MEMO_WORDS = 1_000_000
-#: The last tokens of a full group are cut this fine: differencing places them last, where they level the windows.
-FINE_TOKENS, FINE = 4096, 32
+#: The last tokens of a full group are cut this fine: differencing places them last, where they level the windows. Other
+#: documents are cut only if they are longer than a window or lie on a group's edge.
+FINE_TOKENS, FINE = 8192, 32
 
 
 def difference(sizes: Sequence[int], windows: int) -> tuple[list[list[int]], int]:
@@ -153,12 +151,11 @@ def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 4096,
     group of pieces and one Arrow batch at a time. Sequence ids are unique, and those of a task start at its number times 2^33.
     """
     small_batches(documents.sparkSession)
-    end = np.array([end_id], np.dtype("<u4")).tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary, MEMO_WORDS).encode
+        encode = encoder(vocabulary)
         doc_type = pa.int64()
         context = TaskContext.get()
         sequence = count((context.partitionId() if context else 0) << 33)
@@ -166,13 +163,12 @@ def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 4096,
         def pieces() -> Iterator[tuple]:
             nonlocal doc_type
             for batch in batches:
-                doc_type = batch.schema.field(0).type
-                texts, docs = texts_of(batch), batch.column(0).to_pylist()
-                for at in range(0, len(texts), 500):
-                    for doc, raw in zip(docs[at : at + 500], encode(texts[at : at + 500]), strict=True):
-                        ids = np.frombuffer(raw + end, np.dtype("<u4"))
-                        for start, length in cuts(len(ids), min(PIECE, capacity)):
-                            yield doc, start, ids[start : start + length], len(ids)
+                doc_type, at = batch.schema.field(0).type, 0
+                ends, ids = encode.ended(batch.column(1), end_id)
+                for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                    for start, length in cuts(end - at, capacity):
+                        yield doc, start, ids[at + start : at + start + length], end - at
+                    at = end
 
         def rows_of(group: list[tuple]) -> list[tuple]:
             rows = []

@@ -8,15 +8,18 @@ only. Place in the global id stream is derived on reading, from n_tokens alone.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import doc_and_text, map_batches, texts_of
+from gridloom.llm.common import doc_and_text, map_batches
 from gridloom.llm.encoding import encoder
 
+#: Ids that a selective read takes; Parquet filters a list of up to ten ids by its values, a longer one by its least and largest.
+ASKED = 10_000
 #: Writer settings: version 2 pages (delta, dictionary), row groups of 32 MB, pages of 64 KB or 2,000 rows.
 LAYOUT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -29,14 +32,11 @@ LAYOUT = {
 
 
 def _encode(documents: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    end = np.array([end_id], np.dtype("<u4")).tobytes()
-
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raws = [raw + end for raw in encoder(vocabulary).encode(texts_of(batch))]
-        sizes = np.array([len(raw) // 4 for raw in raws], np.int64)
-        values = pa.array(np.frombuffer(b"".join(raws), np.dtype("<u4")).astype(np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists], names=["doc_id", "n_tokens", "ids"])
+        ends, ids = encoder(vocabulary).ended(batch.column(1), end_id)
+        edges = np.concatenate([[0], ends])
+        lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.view(np.int32)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(edges)), lists], names=["doc_id", "n_tokens", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return map_batches(documents, run, f"doc_id {kind}, n_tokens long, ids array<int>")
@@ -62,24 +62,40 @@ def write_token_files(documents: DataFrame, vocabulary: str, path: str, end_id:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files.
 
-    start is a prefix sum in two levels: sums a file, summed over files in order (one row a file), then within files.
+    start counts the ids in the files before it: a prefix sum in two levels, over files in order (one row a file), then over the
+    rows of a file as they lie there, so that rows without a doc_id and rows that share one each have their own place.
     """
-    stored = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_name"))
+    stored = spark.read.parquet(path).withColumns({"file": F.col("_metadata.file_name"), "row": F.col("_metadata.row_index")})
 
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(batch.schema.get_field_index("ids"))
-        values = lists.values.to_numpy(zero_copy_only=False).astype(np.dtype("<u4"))
-        edges = lists.offsets.to_numpy()
-        crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(crcs, pa.int64())], names=["doc_id", "n_tokens", "file", "ids_crc32"])
+        lists = batch.column(4)
+        raw = memoryview(np.ascontiguousarray(lists.values.to_numpy()).astype(np.dtype("<i4"), copy=False)).cast("B")
+        edges = (4 * lists.offsets.to_numpy().astype(np.int64)).tolist()
+        crcs = [zlib.crc32(raw[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(crcs, pa.int64())], names=["doc_id", "n_tokens", "file", "row", "ids_crc32"])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    rows = map_batches(stored.select("doc_id", "n_tokens", "ids", "file"), check, f"doc_id {kind}, n_tokens long, file string, ids_crc32 long")
+    rows = map_batches(stored.select("doc_id", "n_tokens", "file", "row", "ids"), check, f"doc_id {kind}, n_tokens long, file string, row long, ids_crc32 long")
     files = stored.groupBy("file").agg(F.sum("n_tokens").alias("file_tokens"))
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("file_tokens").over(before), F.lit(0)).alias("file_start"))
-    inside = Window.partitionBy("file").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    joined = placed.join(files, "file")
-    return joined.select("doc_id", (F.col("file_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return placed.join(files, "file").select("doc_id", (F.col("file_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id and n_tokens of every document; the pages of ids are not read."""
+    return spark.read.parquet(path).select("doc_id", "n_tokens")
+
+
+def read_tokens(spark: SparkSession, path: str, doc_ids: Sequence[int]) -> DataFrame:
+    """doc_id, n_tokens, ids of the documents named (at most ASKED of them): a filter that the reader pushes to row groups and pages.
+
+    Files are in order of doc_id, so that statistics rule out most files and row groups, and page indexes most pages of the rest. Ids
+    that no document has give no rows, nor does an empty list; documents that share an id each give one.
+    """
+    if len(doc_ids) > ASKED:
+        raise ValueError("join the files with a table of so many ids")
+    return spark.read.parquet(path).filter(F.col("doc_id").isin([int(d) for d in doc_ids])).select("doc_id", "n_tokens", "ids")

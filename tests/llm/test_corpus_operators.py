@@ -145,8 +145,8 @@ def test_encoder_equals_the_library(libraries):
     texts += [chr(c) + "a " + chr(c) + "b." for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
     for path, lib in libraries.items():
         want = [np.asarray(e.ids, "<u4").tobytes() for e in lib.encode_batch_fast(texts, add_special_tokens=False)]
-        assert encoding.Encoder(path, memo_words=500).encode(texts) == want
         assert encoding.encoder(path).encode(texts) == want
+        assert encoding.encoder(path).encode(texts[:7]) == want[:7] and encoding.encoder(path).encode([]) == [] and encoding.encoder(path).encode([None, ""]) == [b"", b""]
 
 
 # --- 3 substring dedup
@@ -201,14 +201,25 @@ def test_token_files_round_trip(spark, docs, empty, libraries):
     import pyarrow.parquet as pq
 
     path = scratch_path(spark, "test-token-files")
-    token_files.write_token_files(docs.filter("doc_id is not null"), BYTE, path)
-    got = sorted(map(tuple, token_files.read_token_files(spark, path).collect()))
-    at, want = 0, []
-    for r in sorted((r for r in rows() if r[0] is not None), key=lambda r: r[0]):
+    again = docs.union(docs.filter("doc_id = 3").withColumn("text", F.lit("the same id, another text")))
+    token_files.write_token_files(again, BYTE, path)
+    texts: dict = {}
+    for r in again.collect():
         ids = np.array([*libraries[BYTE].encode(text_of(r), add_special_tokens=False).ids, 0], "<u4")
-        want.append((r[0], at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    assert got == sorted(want)
+        texts.setdefault(r[0], []).append((len(ids), zlib.crc32(ids.tobytes())))
+    got = sorted(map(tuple, token_files.read_token_files(spark, path).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted([r[0] for r in got], key=lambda d: (d is not None, d))
+    at = 0
+    for doc, start, n, crc in got:
+        assert start == at
+        texts[doc].remove((n, crc))
+        at += n
+    assert not any(texts.values())
+    files = sorted(Path(path.removeprefix("file:")).glob("*.parquet"), key=lambda f: int(re.search(r"part-(\d+)", f.name)[1]))
+    stream = [i for f in files for ids in pq.read_table(f).column("ids").to_pylist() for i in ids]
+    assert all(zlib.crc32(np.array(stream[s : s + n], "<u4").tobytes()) == crc for _, s, n, crc in got)
+    assert {r.doc_id: len(r.ids) for r in token_files.read_tokens(spark, path, [4, 5, 999]).collect()} == {d: n for d, _, n, _ in got if d in (4, 5)}
+    assert token_files.read_metadata(spark, path).columns == ["doc_id", "n_tokens"] and token_files.read_tokens(spark, path, []).count() == 0
     file = pq.ParquetFile(sorted(Path(path.removeprefix("file:")).glob("*.parquet"))[0])
     encodings = file.metadata.row_group(0).column(0).encodings
     assert "DELTA_BINARY_PACKED" in encodings or "RLE_DICTIONARY" in encodings
@@ -218,6 +229,20 @@ def test_token_files_round_trip(spark, docs, empty, libraries):
     assert token_files.read_token_files(spark, path).count() == 0
 
 
+def test_selective_reads_skip_pages(spark):
+    """Of 40,000 documents in one file, a read of three fetches the rows of a few pages."""
+    path = scratch_path(spark, "test-token-files")
+    table = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    token_files._encode(table.coalesce(1).sortWithinPartitions("doc_id"), BYTE, 0).write.options(**token_files.LAYOUT).parquet(path)
+    asked = token_files.read_tokens(spark, path, [20_000, 20_001, 20_002])
+    assert len(asked.collect()) == 3
+    plan = asked._jdf.queryExecution().executedPlan()
+    scan = plan
+    while scan.children().size():
+        scan = scan.children().head()
+    assert "In(doc_id" in scan.toString() and scan.metrics().apply("numOutputRows").value() <= 4_000
+
+
 # --- 5 packing
 
 
