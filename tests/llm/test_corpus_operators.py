@@ -593,10 +593,10 @@ def brute_search(table, queries, k):
 def test_search_equals_brute_force(spark, docs, empty, monkeypatch):
     table = [(r[0], text_of(r)) for r in rows()]
     want = brute_search(table, [(d, t) for d, t in table if d is not None and d % 3 == 0], 6)
-    for shard, block, sent in ((12_000, 64, 2048), (7, 2, 4)):
+    for shard, block, sent in ((12_000, 64, 32 << 20), (7, 2, 2_000)):
         monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
         monkeypatch.setattr(bm25, "BLOCK", block)
-        monkeypatch.setattr(bm25, "QUERIES_SENT", sent)
+        monkeypatch.setattr(bm25, "QUERY_BYTES", sent)
         found: dict = {}
         for r in bm25.search(docs, docs.filter("doc_id % 3 = 0"), 6).orderBy("query_id", "rank").collect():
             found.setdefault(r.query_id, []).append(r.doc_id)
@@ -617,11 +617,33 @@ def test_pruned_search_equals_full_scores():
     shard = bm25.Shard(np.arange(n), lengths, terms, ends, places, tf, lengths.mean())
     norm = 1.2 * (0.25 + 0.75 * lengths / lengths.mean())
     gains = counts * 2.2 / (counts + norm[:, None])
-    queries = [(np.sort(rng.choice(40, 5, replace=False)), rng.random(5) + 0.1) for _ in range(20)]
-    for (t, w), (ids, scores) in zip(queries, shard.search(queries, 10)):
-        full = np.round(gains[:, t] @ w, 9)
-        best = np.lexsort((np.arange(n), -full))[:10]
-        assert ids.tolist() == best.tolist() and np.allclose(scores, full[best])
+    asked = bm25.Queries.of([(q, np.sort(rng.choice(40, 5, replace=False)), rng.random(5) + 0.1) for q in range(20)])
+    begins = [0, *asked.ends[:-1].tolist()]
+    best = []
+    for a, b in zip(begins, asked.ends.tolist()):
+        full = np.round(gains[:, asked.terms[asked.which[a:b]]] @ asked.weights[a:b], 9)
+        best.append([(d, full[d]) for d in np.lexsort((np.arange(n), -full))[:10].tolist()])
+    known = np.array([scores[-1][1] for scores in best])
+    for least in (np.full(20, -np.inf), known.copy(), known - 0.3):
+        at, docs, scores = shard.search(asked, least, 10)
+        for q in range(20):
+            assert docs[at == q].tolist() == [d for d, _ in best[q]] and np.allclose(scores[at == q], [x for _, x in best[q]])
+        assert np.allclose(least, known)
+    # A threshold that nothing reaches keeps the shard from being entered; queries that are not chosen are not answered.
+    assert not len(shard.search(asked, np.full(20, 1e6), 10)[0])
+    assert set(shard.search(asked, np.full(20, -np.inf), 10, np.arange(20) < 3)[0].tolist()) == {0, 1, 2}
+
+
+def test_terms_equal_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice([*PIECES, "_x", "Word,", "ÀÉ's"]) for _ in range(rng.randrange(0, 14))) for _ in range(500)] + [None, ""]
+    ends, terms, counts = bm25.term_counts(pa.array(texts))
+    for text, a, b in zip(texts, [0, *ends.tolist()], ends.tolist()):
+        want = Counter(re.findall(r"\w+", (text or "").lower()))
+        got = dict(zip(terms[a:b].tolist(), counts[a:b].tolist()))
+        assert got == {int(bm25._terms([w])[0]): n for w, n in want.items()} and terms[a:b].tolist() == sorted(got)
 
 
 # --- registration and pipeline
