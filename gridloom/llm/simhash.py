@@ -97,6 +97,15 @@ BROADCAST_IDS = 1_000_000
 ORDER_DOCS, ORDER_SHINGLES, FREQUENT_DOCS = 10_000, 100_000, 3
 #: Members of a shingle's postings that are compared with all others in one task.
 POSTINGS_BLOCK = 512
+#: Bits of a set's parity sketch, and its columns of 64 bits.
+SKETCH = 256
+SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
+#: Sum of two sets' sizes from which their sketches say little, as most of the bits differ by chance.
+SATURATED = 1200
+#: Pairs a posting that are compared at once, without another round of leaders; a round that links fewer than one class in so many is the last of leaders.
+PAIRS_A_POSTING, WORTH = 4, 200
+#: Saturated pairs that are compared at once, without counts in bins.
+COMPARED = 1_000
 LONGS = pa.list_(pa.int64())
 
 
@@ -129,8 +138,15 @@ def _frequent(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
     return found[order], often[order]
 
 
+def _sketch(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's elements falls on each of SKETCH bits: two sets' sketches differ in at most as many bits as
+    there are elements in one of the sets alone."""
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) % 2
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def prefixes(documents: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, same, n (distinct shingles), prefix (the first of them, rare ones before frequent ones) of every whole text."""
+    """doc_id, same, n (distinct shingles), prefix (the first of them, rare ones before frequent ones) and sketch of every whole text."""
     frequent, often = _frequent(documents, words)
 
     def first(found: np.ndarray) -> np.ndarray:
@@ -145,11 +161,12 @@ def prefixes(documents: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
         sets = [_set(t, words) for t in texts]
-        columns = [batch.column(0), pa.array(map(_same, texts), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(first, sets), LONGS)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "prefix"])
+        sketches = np.array([_sketch(x) for x in sets]).reshape(-1, len(SKETCHES))
+        columns = [batch.column(0), pa.array(map(_same, texts), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(first, sets), LONGS), *map(pa.array, sketches.T.copy())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "prefix", *SKETCHES])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, n int, prefix array<long>")
+    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, n int, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCHES))
 
 
 def _drop(*tables: DataFrame) -> None:
@@ -182,9 +199,11 @@ def _sets(documents: DataFrame, needed: DataFrame, words: int, view: Callable[[n
 
 
 def _may_be_alike(a: str, b: str, similarity: float) -> Column:
-    """Of postings a and b of one shingle, by sizes and places in the order: false only if the sets can't be that similar."""
+    """Of postings a and b of one shingle, by sizes, places in the order and sketches: false only if the sets can't be that similar."""
     most = F.least(f"{a}.place", f"{b}.place") + 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place")) - 1
-    return most * (1 + similarity) >= similarity * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in SKETCHES[1:]), F.bit_count(F.col(f"{a}.{SKETCHES[0]}").bitwiseXOR(F.col(f"{b}.{SKETCHES[0]}"))))
+    return (most * (1 + similarity) >= similarity * total - 1e-6) & (apart * (1 + similarity) <= (1 - similarity) * total + 1e-6)
 
 
 def _leader_pairs(postings: DataFrame, similarity: float, order: int) -> DataFrame:
@@ -192,10 +211,10 @@ def _leader_pairs(postings: DataFrame, similarity: float, order: int) -> DataFra
 
     A leader is the first member by a hash that `order` seeds: rows grow with postings, not with pairs.
     """
-    rank = F.struct(F.xxhash64("same", F.lit(order)).alias("rank"), "same", "n", "place", "component")
+    rank = F.struct(F.xxhash64("same", F.lit(order)).alias("rank"), "same", "n", "place", "component", *SKETCHES)
     leaders = postings.groupBy("key").agg(F.min(rank).alias("l")).select("key", "l.*")
     met = postings.alias("a").join(leaders.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & _may_be_alike("a", "b", similarity))
-    return met.select(F.col("a.same").alias("u"), F.col("b.same").alias("v")).distinct()
+    return met.select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), (F.col("a.n") + F.col("b.n")).alias("total")).distinct()
 
 
 def _all_pairs(postings: DataFrame, similarity: float) -> DataFrame:
@@ -207,23 +226,27 @@ def _all_pairs(postings: DataFrame, similarity: float) -> DataFrame:
     a = sized.withColumn("block", F.pmod(F.xxhash64("same"), "blocks")).alias("a")
     b = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") < F.col("b.component"))
-    return a.join(b, on & _may_be_alike("a", "b", similarity)).select(F.col("a.same").alias("u"), F.col("b.same").alias("v")).distinct()
+    return a.join(b, on & _may_be_alike("a", "b", similarity)).select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), (F.col("a.n") + F.col("b.n")).alias("total")).distinct()
 
 
 def _alike(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are at least that similar, exactly; counts in bins first rule out most of the others."""
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n)
-    counted = total(F.zip_with("su", "sv", lambda x, y: F.least(x, y))), total(F.col("su")) + total(F.col("sv"))
-    exact = F.size(F.array_intersect("su", "sv")), F.size("su") + F.size("sv")
-    for view, (both, sizes) in ((_bins, counted), (_elements, exact)):
-        asked = pairs.select(F.col("u").alias("same")).union(pairs.select("v")).distinct()
+    """u, v of the pairs (u, v, total) whose shingle sets are at least that similar, exactly. Where sketches are saturated, counts in bins
+    first rule out most pairs."""
+    summed = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, n: s + n)
+    shared = {_bins: summed(F.zip_with("su", "sv", lambda x, y: F.least(x, y))), _elements: F.size(F.array_intersect("su", "sv"))}
+    long = pairs.filter(F.col("total") >= SATURATED)
+    for view in (_bins, _elements):
+        tested = pairs if view is _elements else long
+        if view is _bins and long.limit(COMPARED + 1).count() <= COMPARED:
+            continue
+        asked = tested.select(F.col("u").alias("same")).union(tested.select("v")).distinct()
         sets = durable(_sets(documents, durable(classes.join(asked, "same", "left_semi"), "asked"), words, view), "sets")
         left = sets.select(F.col("same").alias("u"), F.col("view").alias("su"))
         right = sets.select(F.col("same").alias("v"), F.col("view").alias("sv"))
-        close = pairs.join(left, "u").join(right, "v").filter(both * (1 + similarity) >= similarity * sizes - 1e-9).select("u", "v")
-        before, pairs = pairs, durable(close, "links")
+        close = tested.join(left, "u").join(right, "v").filter(shared[view] * (1 + similarity) >= similarity * F.col("total") - 1e-9).select("u", "v", "total")
+        before, pairs = pairs, durable(close if view is _elements else close.unionByName(pairs.filter(F.col("total") < SATURATED)), "links")
         _drop(sets, before)
-    return pairs
+    return pairs.select("u", "v")
 
 
 def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -236,36 +259,46 @@ def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return labelled.withColumn("lo", F.min("component").over(everyone)).withColumn("hi", F.max("component").over(everyone)).filter("lo < hi").drop("lo", "hi")
 
 
+def _few_pairs(postings: DataFrame) -> bool:
+    """Whether all pairs of members that are still apart are at most PAIRS_A_POSTING a posting."""
+    members = postings.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
+    square = lambda x: x.cast("double") * x.cast("double")
+    keys = members.groupBy("key").agg(F.sum("m").alias("all"), F.sum(square(F.col("m"))).alias("own"))
+    n, pairs = keys.agg(F.sum("all"), F.sum((square(F.col("all")) - F.col("own")) / 2)).first()
+    return not n or pairs <= PAIRS_A_POSTING * n
+
+
 def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, group_id (least doc_id of its group) of every document with a doc_id.
 
     Texts of equal words are one class. Classes are linked when the sets of their shingles of `words` words have at least that
     Jaccard similarity. Such sets share a shingle of their prefixes; rounds compare the members of a prefix shingle's postings with a
-    leader, then with another among those still apart, until few links are found, which keeps large groups from making pairs. At the
-    end all members that are still apart are compared with each other, so that no pair is left out.
+    leader, then with another among those still apart, until few pairs are left or few links are found, which keeps large groups from
+    making pairs. At the end all members that are still apart are compared with each other, so that no pair is left out.
     """
     documents = documents.filter("doc_id is not null")
     found = durable(prefixes(documents, words, similarity), "prefixes")
     prints = durable(found.select("doc_id", "same"), "prints")
     classes = durable(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "classes")
-    arrays = found.groupBy("same").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = durable(_open(arrays.select("same", "n", F.posexplode("prefix").alias("place", "key")), None), "postings")
+    arrays = found.groupBy("same").agg(*[F.first(x).alias(x) for x in ("n", "prefix", *SKETCHES)])
+    postings = durable(_open(arrays.select("same", "n", *SKETCHES, F.posexplode("prefix").alias("place", "key")), None), "postings")
     _drop(found)
-    links, roots, order, few, last = None, None, 0, classes.count() // 200, False
+    links, roots, order, linked, worth = None, None, 0, None, classes.count() // WORTH
     while True:
+        last = linked is not None and linked <= worth or _few_pairs(postings)
         pairs = durable(_all_pairs(postings, similarity) if last else _leader_pairs(postings, similarity, order), "candidates")
         found = _alike(pairs, documents, classes, words, similarity)
-        n = found.count()
-        if n:
+        linked = found.count()
+        if linked:
             links = found if links is None else links.union(found)
             roots = connected_components(links)
         if last:
             _drop(postings)
             break
-        if n:
+        if linked:
             before, postings = postings, durable(_open(postings.drop("component"), roots), "postings")
             _drop(before)
-        order, last = order + 1, n <= few
+        order += 1
     if links is None:
         return prints.join(classes, "same").select("doc_id", F.col("first").alias("group_id"))
     labelled = durable(classes.join(roots, classes["same"] == roots["node"], "left").select("same", "first", F.coalesce("root", "same").alias("root")), "labelled")
