@@ -2,8 +2,9 @@
 
 A gear rolling hash runs over each text's bytes; a chunk ends where the hash is the least within a window on either side,
 so the cuts depend on nearby bytes alone and an insertion moves no cut but its neighbours. Chunks are grouped by digest
-over the whole corpus, the first occurrence (least doc_id, then position) is kept, and runs of chunks that an earlier
-document holds are removed when they are long enough to be a passage rather than a phrase.
+over the whole corpus, the document with the least doc_id keeps a chunk, and runs of chunks that an earlier document holds
+are removed from the later ones when enough of them follow each other there too, to be a passage rather than phrases. What
+repeats inside one document only stays.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from gridloom.llm.common import doc_and_text, durable, map_batches, texts_of
 
 #: Bytes that the rolling hash spans, bytes on either side among which a cut's hash is the least, and the longest chunk.
 SPAN, REACH, LONGEST = 16, 16, 4096
-#: Words that a run of repeated chunks needs, to be removed. A passage of over 50 words keeps this many after its border chunks.
+#: Words that must follow each other in one earlier document for a run of repeated chunks to be removed. A passage of over 50 words keeps this many after its border chunks.
 LEAST_WORDS = 16
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -55,13 +56,20 @@ def _least_before(values: np.ndarray, reach: int) -> np.ndarray:
 
 
 def cut_points(data: np.ndarray) -> np.ndarray:
-    """Ends of the chunks, the last at the text's end. Equal hashes (repetitive bytes) make no cut; LONGEST bounds chunks."""
+    """Ends of the chunks, the last at the text's end; LONGEST bounds chunks.
+
+    Where hashes tie, as in bytes that repeat with a period of up to REACH, the first and the last of a chain of equal least hashes cut,
+    so that such a stretch is a chunk of its own (or several, counted from its own start). What stands close before it can move the first
+    cut by a period; then two such stretches have different digests.
+    """
     if not len(data):
         return np.zeros(0, np.int64)
     # The high bits depend on all of the span; low ones on the last bytes alone.
     values = rolling(data) * np.uint64(0x9E3779B97F4A7C15)
-    least = np.minimum(_least_before(values, REACH), _least_before(values[::-1], REACH)[::-1])
-    ends = np.append(np.nonzero(values[:-1] < least[:-1])[0] + 1, len(data))
+    before, after = _least_before(values, REACH), _least_before(values[::-1], REACH)[::-1]
+    least = np.nonzero(((values <= before) & (values <= after))[:-1])[0]
+    gaps = np.diff(least, prepend=-REACH - 1, append=len(data) + REACH)
+    ends = np.append(least[(gaps[:-1] > REACH) | (gaps[1:] > REACH)] + 1, len(data))
     gaps = np.diff(ends, prepend=0)
     if gaps.max() > LONGEST:
         starts = ends - gaps
@@ -85,38 +93,47 @@ def chunks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def chunk_table(documents: DataFrame) -> DataFrame:
-    """doc_id, digest, ordinal: one row a chunk."""
+    """doc_id, digest, ordinal, origin: one row a chunk; origin is the first chunk of the document with this digest."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        docs, found = batch.column(0), [chunks(t)[1] for t in texts_of(batch)]
-        sizes = np.array([len(d) for d in found])
+        found = [chunks(t)[1] for t in texts_of(batch)]
+        sizes = np.array([len(d) for d in found], np.int64)
         owner = np.repeat(np.arange(len(found)), sizes)
-        ordinals = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if len(found) else np.zeros(0, np.int32)
         digests = np.concatenate(found) if len(found) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([docs.take(pa.array(owner)), pa.array(digests), pa.array(ordinals)], names=["doc_id", "digest", "ordinal"])
+        ordinals = np.arange(len(digests)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        # Equal digests of a document lie together in a stable sort, the first of them first.
+        order = np.lexsort((digests, owner))
+        new = np.append(True, (digests[order][1:] != digests[order][:-1]) | (owner[order][1:] != owner[order][:-1])) if len(order) else np.zeros(0, bool)
+        origin = np.empty(len(digests), np.int64)
+        origin[order] = ordinals[order][np.nonzero(new)[0]][np.cumsum(new) - 1] if len(order) else 0
+        columns = [batch.column(0).take(pa.array(owner)), pa.array(digests), pa.array(ordinals.astype(np.int32)), pa.array(origin.astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "ordinal", "origin"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents, run, f"doc_id {kind}, digest long, ordinal int")
+    return map_batches(documents, run, f"doc_id {kind}, digest long, ordinal int, origin int")
 
 
 def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """doc_id, repeats: the chunks of each document that a document with a lesser doc_id holds too, as (ordinal, kept_doc_id)."""
+    """doc_id, repeats: the chunks of each document that a document with a lesser doc_id holds too, as (ordinal, kept_doc_id, kept_ordinal)."""
     table = chunk_table(documents)
-    # Only counts and least ids are shuffled for all chunks; a very common chunk is summed where it is read.
-    firsts = table.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.max("doc_id").alias("last")).filter("kept < last").select("digest", "kept")
-    firsts = durable(firsts, "repeated-digests")
+    # Only least ids and places are shuffled for all chunks; a very common chunk is summed where it is read.
+    firsts = table.groupBy("digest").agg(F.min("doc_id").alias("kept"), F.min_by("origin", "doc_id").alias("place"), F.max("doc_id").alias("last"))
+    firsts = durable(firsts.filter("kept < last").select("digest", "kept", "place"), "repeated-digests")
+    # One row a digest on this side: a common chunk's rows on the other are split by adaptive execution.
     found = table.join(firsts, "digest").filter("doc_id > kept")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("ordinal", F.col("kept").alias("kept_doc_id"))).alias("repeats"))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("ordinal", F.col("kept").alias("kept_doc_id"), F.col("place").alias("kept_ordinal"))).alias("repeats"))
 
 
 def removals(text: str, repeats: list[dict] | None) -> list[tuple[int, int, int, list]]:
-    """(start, length, words, kept doc_ids) of the byte runs to remove: consecutive repeated chunks of LEAST_WORDS words or more.
+    """(start, length, words, kept doc_ids) of the byte runs to remove: consecutive repeated chunks, of which LEAST_WORDS words or more
+    follow each other in one earlier document as well.
 
     Ends inside a word are moved inwards to the nearest white space, so that no word is cut.
     """
     if not repeats:
         return []
     kept = {r["ordinal"]: r["kept_doc_id"] for r in repeats}
+    place = {r["ordinal"]: (r["kept_doc_id"], r["kept_ordinal"]) for r in repeats}
     raw = text.encode()
     ends, _, words = chunks(text)
     out = []
@@ -128,7 +145,12 @@ def removals(text: str, repeats: list[dict] | None) -> list[tuple[int, int, int,
             last += 1
         start, end = int(ends[first - 1]) if first else 0, int(ends[last])
         n = int(words[first : last + 1].sum())
-        if n < LEAST_WORDS:
+        together = most = int(words[first])
+        for k in range(first + 1, last + 1):
+            (doc, before), now = place[k - 1], place[k]
+            together = int(words[k]) + (together if now == (doc, before + 1) else 0)
+            most = max(most, together)
+        if most < LEAST_WORDS:
             continue
         while start and start < end and not SPACES[raw[start]] and not SPACES[raw[start - 1]]:
             start += 1
