@@ -23,6 +23,8 @@ from gridloom.llm.common import doc_and_text, map_batches, texts_of
 SAMPLE_ROWS = 16_000
 #: Hash buckets, buckets kept for the machine, the least labelled documents and likelihood ratio of a kept bucket.
 BUCKETS, KEPT, LEAST_DOCS, LEAST_RATIO = 1 << 20, 4096, 4, 15.0
+#: Buckets whose pairs are tried, and the least ratio of a pair, as half a million pairs are tried at once.
+PAIRED, PAIR_RATIO = 1024, 40.0
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 40, 128, 0.1, 1e-3
 #: Weight of a toxic row's error: one insult seen in few labelled rows must still be enough.
 POSITIVE = 3.0
@@ -68,21 +70,51 @@ class Machine:
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -60, 60))))
 
 
+def _ratio(toxic: np.ndarray, seen: np.ndarray, positives: float, n: int) -> np.ndarray:
+    """Likelihood ratio of presence and label being independent, from documents with both, and with presence."""
+    cells = [(toxic, seen * positives / n), (seen - toxic, seen * (n - positives) / n)]
+    cells += [(positives - toxic, (n - seen) * positives / n), ((n - positives) - (seen - toxic), (n - seen) * (n - positives) / n)]
+    return sum(2 * np.where(got > 0, got * np.log(np.maximum(got, 1e-9) / np.maximum(expected, 1e-9)), 0) for got, expected in cells)
+
+
+def _paired(rows: list[np.ndarray], labels: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """The buckets among those tried that depend on the label in pairs: by the ratio of both being present, beyond what either has alone."""
+    n, positives = len(rows), labels.sum()
+    table = np.full(BUCKETS, -1, np.int64)
+    table[tried] = np.arange(len(tried))
+    seen, toxic = np.zeros((len(tried), len(tried)), np.float32), np.zeros((len(tried), len(tried)), np.float32)
+    for start in range(0, n, 2048):
+        present = np.zeros((len(rows[start : start + 2048]), len(tried)), np.float32)
+        for i, row in enumerate(rows[start : start + 2048]):
+            at = table[row]
+            present[i, at[at >= 0]] = 1
+        y = labels[start : start + 2048] > 0
+        seen += present.T @ present
+        toxic += present[y].T @ present[y]
+    ratio = _ratio(toxic.astype(float), seen.astype(float), positives, n)
+    alone = np.diag(ratio)
+    np.fill_diagonal(ratio, 0)
+    more = (seen >= LEAST_DOCS) & (ratio - np.maximum(alone[:, None], alone[None, :]) >= PAIR_RATIO)
+    return tried[more.any(axis=1)]
+
+
 def _screen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Buckets whose presence and label depend on each other most, by likelihood ratio."""
+    """Buckets that depend on the label most, by themselves (by likelihood ratio, KEPT at most) or in pairs (PAIRED are tried).
+
+    A pair that matters only together has two buckets that say little alone: of the buckets that aren't kept for themselves, those are
+    tried that most toxic documents have.
+    """
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     y = np.repeat(labels, [len(r) for r in rows])
     seen, toxic = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, weights=y, minlength=BUCKETS)
     at = np.nonzero(seen >= LEAST_DOCS)[0]
     n, positives = len(rows), labels.sum()
-    cells = [(toxic[at], seen[at] * positives / n), (seen[at] - toxic[at], seen[at] * (n - positives) / n)]
-    cells += [(positives - toxic[at], (n - seen[at]) * positives / n), ((n - positives) - (seen[at] - toxic[at]), (n - seen[at]) * (n - positives) / n)]
-    ratio = np.zeros(len(at))
-    for got, expected in cells:
-        ratio += 2 * np.where(got > 0, got * np.log(np.maximum(got, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    ratio = _ratio(toxic[at], seen[at], positives, n)
     keep = ratio >= LEAST_RATIO
-    order = np.lexsort((at[keep], -ratio[keep]))[:KEPT]
-    return np.sort(at[keep][order])
+    kept = at[keep][np.lexsort((at[keep], -ratio[keep]))][:KEPT]
+    others = at[~keep & (toxic[at] >= LEAST_DOCS)]
+    tried = np.concatenate([kept[: PAIRED // 4], others[np.lexsort((others, -toxic[others] / np.sqrt(seen[others])))]])[:PAIRED]
+    return np.union1d(kept, _paired(rows, labels, tried)) if len(tried) > 1 else np.sort(kept)
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:

@@ -84,6 +84,37 @@ def test_toxicity_learns_interactions_and_generalises(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_toxicity_learns_pairs_that_say_nothing_alone(spark):
+    """Toxic if exactly one of two words is there: neither depends on the label by itself."""
+    rng, docs, labels = random.Random(5), [], []
+    for i in range(2400):
+        words = prose(i, 12).split()
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words += ["zorn"] * one + ["quell"] * two
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(one != two)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    machine = toxicity.fit(docs, labels)
+    assert {toxicity.hashed_terms(w)[0] for w in ("zorn", "quell")} <= set(machine.place)
+    held = [r for r in toxicity.score_documents(docs, machine).join(labels, "doc_id").collect() if r.held_out]
+    assert sum((r.score >= 0.5) == (r.toxic == 1) for r in held) >= 0.97 * len(held)
+
+
+def test_toxicity_scores_equal_the_sum_over_pairs(docs):
+    rng = np.random.default_rng(1)
+    buckets = sorted({b for r in rows() for w in toxicity.WORD.findall(text_of(r).lower()) for b in toxicity.hashed_terms(w)})
+    machine = toxicity.Machine(-0.3, rng.normal(0, 0.1, len(buckets)), rng.normal(0, 0.1, (len(buckets), 8)), {b: i for i, b in enumerate(buckets)})
+    want = {}
+    for r in rows():
+        at = sorted({machine.place[b] for w in toxicity.WORD.findall(text_of(r).lower()) for b in toxicity.hashed_terms(w)})
+        total = machine.bias + sum(machine.weights[i] for i in at) + sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(at) for j in at[:k])
+        want.setdefault(r[0], []).append(round(1 / (1 + math.exp(-total)), 9))
+    got: dict = {}
+    for r in toxicity.score_documents(docs, machine).collect():
+        got.setdefault(r.doc_id, []).append(round(r.score, 9))
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
+
+
 def test_toxicity_of_awkward_rows(spark, docs, empty):
     _, labels = toxic_table(spark, 300)
     labels = labels.union(spark.createDataFrame([(None, 1, 1), (5, None, None), (7, 1, 1), (7, 1, 1)], "doc_id long, quality int, toxic int"))
@@ -184,6 +215,68 @@ def test_cuts_resist_shifts():
     assert substring_dedup.rolling(np.frombuffer(b"hello world, hello moon", np.uint8)).tolist() == brute
 
 
+def brute_spans(table: list[tuple]) -> set:
+    """(doc_id, start, length) of repeated runs, chunk by chunk, from all chunks of all documents in one dictionary."""
+    holders: dict = {}
+    for doc, text in table:
+        for k, digest in enumerate(substring_dedup.chunks(text)[1].tolist()):
+            holders.setdefault(digest, []).append((doc, k))
+    found = set()
+    for doc, text in table:
+        ends, digests, words = substring_dedup.chunks(text)
+        source = [min(holders[d]) if min(holders[d])[0] < doc else None for d in digests.tolist()]
+        k = 0
+        while k < len(source):
+            last = k
+            while last + 1 < len(source) and source[k] and source[last + 1]:
+                last += 1
+            if source[k]:
+                follow = [[k]]
+                for j in range(k + 1, last + 1):
+                    if source[j] == (source[j - 1][0], source[j - 1][1] + 1):
+                        follow[-1].append(j)
+                    else:
+                        follow.append([j])
+                if max(int(words[f].sum()) for f in follow) >= substring_dedup.LEAST_WORDS:
+                    raw, a, b = text.encode(), int(ends[k - 1]) if k else 0, int(ends[last])
+                    white = lambda i: chr(raw[i]).isspace()
+                    while 0 < a < b and not white(a) and not white(a - 1):
+                        a += 1
+                    while a < b < len(raw) and not white(b) and not white(b - 1):
+                        b -= 1
+                    if b > a:
+                        found.add((doc, a, b - a))
+            k = last + 1
+    return found
+
+
+def test_removed_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    pool = [passage(i) for i in range(8)] + [" ".join(passage(50 + i).split()[:12]) for i in range(8)] + ["| - | " * 60, "na " * 80]
+    table = [(i, " ".join(rng.choice([rng.choice(pool), passage(1000 + 20 * i + j)]) for j in range(rng.randrange(1, 6)))) for i in range(60)]
+    got = substring_dedup.removed_spans(spark.createDataFrame(table, "doc_id long, text string").repartition(4)).collect()
+    assert {(r.doc_id, r.start, r.length) for r in got} == brute_spans(table)
+    # Every later copy of a passage of 55 words is found, all but its ends.
+    for shared in pool[:8]:
+        for doc in [d for d, text in table if shared in text][1:]:
+            at = len(dict(table)[doc].split(shared)[0].encode())
+            covered = sum(max(0, min(r.start + r.length, at + len(shared)) - max(r.start, at)) for r in got if r.doc_id == doc)
+            assert covered >= 0.5 * len(shared), (doc, covered)
+    # Passages that repeat with a short period are found too, whatever stands around them.
+    assert any("| - | - |" in r.text.replace("| |", "|") or "| - | | - |" in r.text for r in got) and any("na na na" in r.text for r in got)
+
+
+def test_phrases_of_several_documents_are_no_passage(spark):
+    """Chunks that earlier documents hold one by one, not one after another, stay."""
+    parts = [passage(i) for i in range(6)]
+    cut = substring_dedup.chunks(" ".join(parts))
+    raw, edges = " ".join(parts).encode(), [0, *cut[0].tolist()]
+    pieces = [raw[a:b].decode() for a, b in zip(edges, edges[1:])]
+    mixed = "".join(pieces[::2])
+    table = [(0, " ".join(parts)), (1, mixed)]
+    assert substring_dedup.removed_spans(spark.createDataFrame(table, "doc_id long, text string")).count() == 0
+
+
 def test_substring_dedup_of_awkward_rows(docs, empty):
     assert substring_dedup.removed_spans(empty).count() == 0 == substring_dedup.remove_repeats(empty).count()
     spans = substring_dedup.removed_spans(docs).collect()
