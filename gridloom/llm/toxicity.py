@@ -91,11 +91,14 @@ def _paired(rows: list[np.ndarray], labels: np.ndarray, tried: np.ndarray) -> np
         y = labels[start : start + 2048] > 0
         seen += present.T @ present
         toxic += present[y].T @ present[y]
-    ratio = _ratio(toxic.astype(float), seen.astype(float), positives, n)
-    alone = np.diag(ratio)
-    np.fill_diagonal(ratio, 0)
-    more = (seen >= LEAST_DOCS) & (ratio - np.maximum(alone[:, None], alone[None, :]) >= PAIR_RATIO)
-    return tried[more.any(axis=1)]
+    alone = _ratio(np.diag(toxic).astype(float), np.diag(seen).astype(float), positives, n)
+    found = np.zeros(len(tried), bool)
+    for i in range(len(tried)):
+        both = _ratio(toxic[i].astype(float), seen[i].astype(float), positives, n)
+        more = (seen[i] >= LEAST_DOCS) & (both - np.maximum(alone[i], alone) >= PAIR_RATIO)
+        more[i] = False
+        found[i] = more.any()
+    return tried[found]
 
 
 def _screen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
@@ -104,9 +107,12 @@ def _screen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     A pair that matters only together has two buckets that say little alone: of the buckets that aren't kept for themselves, those are
     tried that most toxic documents have.
     """
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    y = np.repeat(labels, [len(r) for r in rows])
-    seen, toxic = np.bincount(flat, minlength=BUCKETS), np.bincount(flat, weights=y, minlength=BUCKETS)
+    seen, toxic = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for row, label in zip(rows, labels.tolist(), strict=True):
+        # A row has each bucket once.
+        seen[row] += 1
+        if label > 0:
+            toxic[row] += 1
     at = np.nonzero(seen >= LEAST_DOCS)[0]
     n, positives = len(rows), labels.sum()
     ratio = _ratio(toxic[at], seen[at], positives, n)
@@ -187,7 +193,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Machine:
     found = map_batches(labelled.select("doc_id", "text", "toxic"), run, "toxic double, buckets array<int>").toArrow()
     rows = found.column("buckets").combine_chunks()
     edges = rows.offsets.to_numpy()
-    flat = rows.values.to_numpy().astype(np.int64)
+    flat = rows.values.to_numpy()
     docs = [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
     toxic = found.column("toxic").to_numpy()
     # Rows arrive as tasks end; training takes them in an order of their own.
