@@ -1,15 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one a block element. Lines of menus, headers, footers, sidebars, notices, adverts, forms and
-comments, and lines that are mostly links, count as empty. Text lengths are summed over a sliding window of lines; the
-sum surges where the article begins and dives to zero where it ends, and the text between is kept.
+Markup is stripped to lines, one a block element. Text lengths are summed over a sliding window of lines; the sum surges
+where the article begins and dives to zero where it ends, and the text between is kept. Tags, class names and links are
+evidence of what a line's text weighs: lines of menus, headers, footers, sidebars, notices, adverts, forms and comments,
+and lines that are mostly links, weigh nothing, but an element that holds most of the page's text is none of these, whatever
+it is called; and lines outside article elements weigh nothing only where these elements hold a fair share of what weighs.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +25,8 @@ from gridloom.llm.common import map_batches, texts_of
 WINDOW, SURGE = 3, 80
 #: A line with at least this share of its letters in links is navigation.
 LINK_SHARE = 0.6
+#: An element with more than this share of the page's text isn't boilerplate; article elements with less of what weighs aren't the article.
+MOST, FAIR = 0.5, 0.3
 
 RAW = "script style noscript template svg math iframe object embed canvas audio video map select textarea button head title".split()
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q ruby s samp small span strike strong sub sup time tt u var wbr img picture source input".split())
@@ -29,10 +35,12 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".spli
 ARTICLE = frozenset(("article", "main"))
 #: Words in a class, id or role that mark an element as no part of the article.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline-share|comments?|comment-?list|complementary|consent|contentinfo|cookies?|disqus|footer|header|masthead|"
+    r"(?:^|(?<!with)(?<!has)(?<!no)[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline-share|comments?|comment-?list|complementary|consent|contentinfo|cookies?|disqus|footer|header|masthead|"
     r"menu\w*|modal|nav\w*|newsletter|notices?|overlay|paywall|popup|promo\w*|recommend\w*|related|reply|respond|search|share|sharing|sidebar\w*|signup|skip|social|sponsor\w*|subscribe|toolbar|widget\w*)(?:$|[\s_\d-])",
     re.IGNORECASE,
 )
+#: Classes of a headline's element within an article.
+HEADLINE = re.compile(r"""["'\s=](?:[\w-]*-)?header(?:["'\s]|$)""", re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^'">])*+)>""", re.DOTALL)
 CLOSERS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
@@ -42,8 +50,10 @@ CLOSERS = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
 class Line:
     text: str
     linked: int
-    dropped: bool
+    #: Open elements that look like boilerplate, by number.
+    marks: tuple[int, ...]
     article: bool
+    dropped: bool = False
 
 
 def _dropped(tag: str, attributes: str) -> bool:
@@ -61,8 +71,9 @@ def lines_of(page: str) -> list[Line]:
     lines: list[Line] = []
     parts: list[str] = []
     links = [0, 0]
-    # Open elements: tag, whether its lines are dropped, whether they are in an article.
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    # Open elements: tag, marks of it and the ones around it, whether they are in an article.
+    stack: list[tuple[str, tuple[int, ...], bool]] = [("", (), False)]
+    marked = count()
     in_link = False
 
     def flush() -> None:
@@ -117,25 +128,34 @@ def lines_of(page: str) -> list[Line]:
                     del stack[depth:]
                     break
         else:
-            _, dropped, article = stack[-1]
-            if tag in ARTICLE:
-                own = _dropped(tag, attributes)
-                stack.append((tag, own, not own))
-            else:
-                # An article's own header holds its headline.
-                own = _dropped(tag, attributes) and not (article and tag == "header")
-                stack.append((tag, dropped or own, article))
+            _, marks, article = stack[-1]
+            # An article's own header holds its headline; an article element begins anew.
+            own = _dropped(tag, attributes) and not (article and (tag == "header" or HEADLINE.search(attributes)))
+            around = () if tag in ARTICLE else marks
+            stack.append((tag, (*around, next(marked)) if own else around, article or tag in ARTICLE))
     flush()
+    # What holds most of the text isn't boilerplate.
+    held = Counter()
+    for line in lines:
+        for mark in line.marks:
+            held[mark] += len(line.text)
+    most = MOST * sum(len(line.text) for line in lines)
+    for line in lines:
+        line.dropped = any(held[mark] <= most for mark in line.marks)
+        line.article &= not line.dropped
     return lines
 
 
 def main_text(page: str) -> str:
     """The article's blocks joined by one space; empty if there is no text."""
     lines = lines_of(page)
-    if any(line.article and line.text for line in lines):
-        # The page says where its article is; lines outside count as empty.
+    inside = sum(len(line.text) for line in lines if line.article)
+    if inside and inside >= FAIR * sum(len(line.text) for line in lines if not line.dropped):
         for line in lines:
             line.dropped |= not line.article
+    else:
+        for line in lines:
+            line.article = False
     sizes = []
     for line in lines:
         mostly_links = not line.article and line.linked and line.linked >= LINK_SHARE * len(line.text)

@@ -398,6 +398,48 @@ def test_html(spark):
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names_are_evidence_only():
+    """Elements that hold most of the text are kept whatever they are called; headlines in header elements and tagless pages too."""
+    body = "".join(f"<p>{prose(i, 25)}</p>" for i in range(4))
+    text = " ".join(prose(i, 25) for i in range(4))
+    side = "<div class=sidebar><p>Side text here</p></div><footer><p>Foot</p></footer>"
+    for page in (
+        f'<body><main class="page with-sidebar">{body}</main>{side}</body>',
+        f'<body><div class="content has-sidebar">{body}</div>{side}</body>',
+        f'<body><div class="widget-page">{body}</div>{side}</body>',
+        f"<body><form>{body}</form></body>",
+        f"<body><article><p>{prose(50, 3)}</p></article><div>{body}</div>{side}</body>",
+    ):
+        assert text in html_text.main_text(page) and "Side" not in html_text.main_text(page) and "Foot" not in html_text.main_text(page), page[:60]
+    page = f'<body><article><div class="entry-header"><h1>Head line</h1></div>{body}<p>Last.</p></article>{side}</body>'
+    assert html_text.main_text(page) == f"Head line {text} Last."
+    tagless = f"<a href=1>one</a><br><a href=2>two</a><br>{'<br>'.join(prose(i, 25) for i in range(4))}<br><br><br><br><a href=3>three</a>"
+    assert html_text.main_text(tagless) == text
+
+
+def brute_main_text(page: str) -> str:
+    """Window by window over the page's weighed lines."""
+    lines = html_text.lines_of(page)
+    inside, weighed = sum(len(x.text) for x in lines if x.article), sum(len(x.text) for x in lines if not x.dropped)
+    trusted = inside > 0 and inside >= html_text.FAIR * weighed
+    weight = [0 if x.dropped or trusted and not x.article or not trusted and x.linked and x.linked >= html_text.LINK_SHARE * len(x.text) else len(x.text) for x in lines]
+    regions, k = [], 0
+    for k in range(len(lines)):
+        window = sum(weight[k : k + html_text.WINDOW])
+        if window and regions and regions[-1][-1] == k - 1:
+            regions[-1].append(k)
+        elif window:
+            regions.append([k])
+    text = [[lines[k].text for k in r if weight[k]] for r in regions]
+    kept = [t for r, t in zip(regions, text) if any(sum(weight[k : k + html_text.WINDOW]) >= html_text.SURGE or trusted and lines[k].article for k in r)]
+    return " ".join(w for t in kept for w in t) if kept else " ".join(max(text, key=lambda t: sum(map(len, t)), default=[]))
+
+
+def test_html_equals_brute_force(spark, data):
+    pages = [r.html or "" for r in spark.read.parquet(f"{data}/pages.parquet").limit(200).collect()]
+    assert [html_text.main_text(p) for p in pages] == [brute_main_text(p) for p in pages]
+
+
 # --- 7 media
 
 
