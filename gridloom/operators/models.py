@@ -92,13 +92,83 @@ def rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     return joined.select(F.round((F.col("both") - expected) / F.nullif((F.col("rows") + F.col("columns")) / 2.0 - expected, F.lit(0.0)), 6).alias("ari"))
 
 
+def normalized_information(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Mutual information of two labelings over the mean of their entropies (NULL if both are constant)."""
+    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+    sides = [cells.groupBy(c).agg(F.sum("n").alias(f"n_{i}")) for i, c in enumerate((a, b))]
+    total = cells.agg(F.sum("n").cast("double").alias("t"))
+    entropy = [s.join(F.broadcast(total)).agg((-F.sum(F.col(f"n_{i}") / F.col("t") * F.log(F.col(f"n_{i}") / F.col("t")))).alias(f"h_{i}")) for i, s in enumerate(sides)]
+    share = F.col("n") / F.col("t") * F.log(F.col("t") * F.col("n") / (F.col("n_0") * F.col("n_1")))
+    both = cells.join(sides[0], a).join(sides[1], b).join(F.broadcast(total)).agg(F.sum(share).alias("mi"))
+    return both.join(F.broadcast(entropy[0])).join(F.broadcast(entropy[1])).select(F.round(F.col("mi") / F.nullif((F.col("h_0") + F.col("h_1")) / 2, F.lit(0.0)), 6).alias("nmi"))
+
+
+def distance_geometry(queries: DataFrame, rows: DataFrame, block: int = 2000) -> DataFrame:
+    """pairs, correlation of distance and label difference, mean distance of equal labels: each query (id, vector, label) against all other rows.
+
+    Queries go to all rows in blocks of bounded size; a task returns seven sums a block.
+    """
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    spark, schema, parts, asked = rows.sparkSession, "n double, d double, r double, dd double, rr double, dr double, same double, same_d double", [], []
+
+    def answer(batch: list) -> DataFrame:
+        sent = spark.sparkContext.broadcast((np.array([r.id for r in batch]), np.array([r.vector for r in batch], float), np.array([r.label for r in batch], float)))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, q, label = sent.value
+            sums = np.zeros(8)
+            for frame in frames:
+                for at in range(0, len(frame), 4096):
+                    part = frame.iloc[at : at + 4096]
+                    v = np.array(part["vector"].tolist(), float)
+                    d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (v**2).sum(1)[None, :] - 2 * q @ v.T, 0))
+                    r = np.abs(label[:, None] - part["label"].to_numpy(float)[None, :])
+                    other = ids[:, None] != part["id"].to_numpy()[None, :]
+                    d, r = d[other], r[other]
+                    sums += [len(d), d.sum(), r.sum(), (d * d).sum(), (r * r).sum(), (d * r).sum(), (r == 0).sum(), d[r == 0].sum()]
+            yield pd.DataFrame([sums], columns=[c.split(" ")[0] for c in schema.split(", ")])
+
+        return rows.select("id", "vector", "label").mapInPandas(run, schema)
+
+    for row in queries.select("id", "vector", "label").toLocalIterator():
+        asked.append(row)
+        if len(asked) == block:
+            parts.append(answer(asked))
+            asked = []
+    if asked or not parts:
+        parts.append(answer(asked) if asked else spark.createDataFrame([], schema))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    t = found.agg(*[F.sum(c.split(" ")[0]).alias(c.split(" ")[0]) for c in schema.split(", ")])
+    c = F.col
+    spread = F.sqrt((c("n") * c("dd") - c("d") * c("d")) * (c("n") * c("rr") - c("r") * c("r")))
+    return t.select(F.coalesce(c("n"), F.lit(0.0)).cast("long").alias("pairs"), F.round((c("n") * c("dr") - c("d") * c("r")) / F.nullif(spread, F.lit(0.0)), 5).alias("correlation"), F.round(c("same_d") / F.nullif(c("same"), F.lit(0.0)), 5).alias("same_label_distance"))
+
+
 def principal_components(df: DataFrame, n: int, vector: str = "vector") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Mean, components (rows) and explained variance, from one pass of sums and products a dimension pair."""
+    import pyarrow as pa
+
     dims = len(df.select(vector).first()[0])
-    element = lambda i: F.col(vector)[i]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(element(i)).alias(f"s{i}") for i in range(dims)], *[F.sum(element(i) * element(j)).alias(f"p{i}_{j}") for i in range(dims) for j in range(i, dims)]).first()
-    mean = np.array([row[f"s{i}"] for i in range(dims)]) / row["n"]
-    products = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(dims)] for i in range(dims)]) / row["n"]
+
+    def run(batches):
+        sums = np.zeros(1 + dims + dims * dims)
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), float).reshape(-1, dims)
+            sums += np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    # A row of sums a task; their number is that of tasks, their size that of the model.
+    rows = df.select(vector).mapInArrow(run, "sums array<double>").select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+    sums = np.zeros(1 + dims + dims * dims)
+    for row in rows:
+        sums[row["at"]] = row["x"]
+    mean = sums[1 : 1 + dims] / sums[0]
+    products = sums[1 + dims :].reshape(dims, dims) / sums[0]
     variance, vectors = np.linalg.eigh(products - np.outer(mean, mean))
     order = np.argsort(-variance)[:n]
     return mean, vectors[:, order].T, variance[order]

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import exprs as X
@@ -69,12 +69,10 @@ def _direction(shape: str) -> str:
 def topk(catalog: Catalog, shape: str, k: int, regions: tuple[str, ...] = ("eu", "us"), pushed: bool = False, where: str = CUTOFF) -> DataFrame:
     """The k best rows of a shape. pushed: each region ranks its own rows first and only k of each are merged."""
     order = _order(_direction(shape))
-    parts = [catalog.regional(r, "events").filter(where).withColumn("source_region", F.lit(r)) for r in regions]
     if not pushed:
-        return _shaped(reduce(DataFrame.unionByName, parts), shape).orderBy(*order).limit(k)
-    ranked = reduce(DataFrame.unionByName, [_shaped(p, shape) for p in parts])
-    place = F.row_number().over(Window.partitionBy("source_region").orderBy(*order))
-    return ranked.withColumn("place", place).filter(F.col("place") <= k).drop("place").orderBy(*order).limit(k)
+        return _shaped(catalog.tagged(regions, "events").filter(where), shape).orderBy(*order).limit(k)
+    parts = [catalog.regional(r, "events").filter(where).withColumn("source_region", F.lit(r)) for r in regions]
+    return reduce(DataFrame.unionByName, [_shaped(p, shape).orderBy(*order).limit(k) for p in parts]).orderBy(*order).limit(k)
 
 
 def topk_sql(shape: str, k: int, regions: tuple[str, ...] = ("eu", "us"), where: str = CUTOFF) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import corpus, topk
-from gridloom.plans import toolkit, toolkit_models  # noqa: F401  (registers its queries)
+from gridloom.plans import toolkit, toolkit_evidence, toolkit_models  # noqa: F401  (they register their queries)
 from gridloom.operators.rollup import MERGES, Rollup, order_sql, ranked
 from gridloom.sources.catalog import Catalog
 

@@ -74,11 +74,11 @@ def gain_rows(c: Catalog) -> DataFrame:
     return interventions.gains(interventions.condition_summary(runs(c)))
 
 
-def vectors(c: Catalog, dims: int = 8) -> DataFrame:
-    return c.table("embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, dims), lambda x: x.cast("double")).alias("vector"), "label")
+def vectors(c: Catalog) -> DataFrame:
+    return c.table("embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"), "label")
 
 
-VECTORS = "vectors as (select vec_id id, list_transform(embedding[1:8], lambda x: cast(x as double)) as vector, label from embeddings)"
+VECTORS = "vectors as (select vec_id id, list_transform(embedding, lambda x: cast(x as double)) as vector, label from embeddings)"
 
 
 def scores(c: Catalog) -> DataFrame:
@@ -93,8 +93,8 @@ W_ALL = f"with {RUNS}, {CONDITIONS}, {GAINS}, {SCORES} "
 
 
 def nodes(c: Catalog) -> DataFrame:
-    """A plan a customer of 200: a tree by integer halving, one node an order."""
-    o = c.table("orders").filter("o_orderkey < 4096")
+    """A plan to 64 orders: a tree by integer halving, one node an order."""
+    o = c.table("orders")
     k = F.col("o_orderkey")
     types = F.array(*map(F.lit, ("Foreign Scan", "Hash Join", "Sort", "Aggregate", "Limit", "Seq Scan", "Hash")))
     place = k % 64 + 1
@@ -109,7 +109,7 @@ def nodes(c: Catalog) -> DataFrame:
 NODES = """nodes as (select cast(o_orderkey // 64 as varchar) plan_id, cast(o_orderkey % 64 + 1 as int) node_id, cast(case when o_orderkey % 64 + 1 > 1 then (o_orderkey % 64 + 1) // 2 end as int) parent_node_id,
   cast((o_orderkey % 64 + 1) % 2 as int) child_index, cast(floor(log2(o_orderkey % 64 + 1)) as int) depth,
   ['Foreign Scan','Hash Join','Sort','Aggregate','Limit','Seq Scan','Hash'][(o_orderkey * 7 + o_orderkey // 64) % 7 + 1] node_type, round(o_totalprice, 2) actual_total_time, cast(o_custkey as double) actual_rows, cast(o_orderkey % 900 + 1 as double) plan_rows
-  from orders where o_orderkey < 4096)"""
+  from orders)"""
 
 # --- Sources and generators ---------------------------------------------------------------------------------------------
 
@@ -327,9 +327,9 @@ def _(c):
     return joins.with_indicator(a, b, ["scenario_id"])
 
 
-@register("join_semi_anti", f"with {CATALOG_SQL} select u.tenant_id, u.user_id, case when exists (select 1 from events_t e where e.user_id = u.user_id and e.value > 150) then 'semi' else 'anti' end side from users_t u where u.user_id < 300")
+@register("join_semi_anti", f"with {CATALOG_SQL} select u.tenant_id, u.user_id, case when exists (select 1 from events_t e where e.user_id = u.user_id and e.value > 150) then 'semi' else 'anti' end side from users_t u")
 def _(c):
-    some, users = c.events.filter("value > 150"), c.users.filter("user_id < 300").select("tenant_id", "user_id")
+    some, users = c.events.filter("value > 150"), c.users.select("tenant_id", "user_id")
     return users.join(some, "user_id", "left_semi").withColumn("side", F.lit("semi")).unionByName(users.join(some, "user_id", "left_anti").withColumn("side", F.lit("anti")))
 
 
@@ -343,20 +343,20 @@ def _(c):
     return joins.latest(runs(c), ["scenario_id", "action"], F.desc("completed"), F.desc("repetition"), F.col("run_id")).select("scenario_id", "action", "run_id", "elapsed_seconds")
 
 
-@register("join_bracket", f"with {CATALOG_SQL}, w as (select user_id, timestamp '2024-01-10 00:00:00' lo, timestamp '2024-01-12 00:00:00' hi from users_t where user_id < 150) select w.user_id, max(case when created_at <= lo then created_at end) as before, min(case when created_at >= hi then created_at end) as after from w left join events_t e on e.user_id = w.user_id group by 1")
+@register("join_bracket", f"with {CATALOG_SQL}, w as (select user_id, timestamp '2024-01-10 00:00:00' lo, timestamp '2024-01-12 00:00:00' hi from users_t) select w.user_id, max(case when created_at <= lo then created_at end) as before, min(case when created_at >= hi then created_at end) as after from w left join events_t e on e.user_id = w.user_id group by 1")
 def _(c):
     stamp = lambda s: F.lit(s).cast("timestamp_ntz")
-    windows = c.users.filter("user_id < 150").select("user_id", stamp("2024-01-10 00:00:00").alias("lo"), stamp("2024-01-12 00:00:00").alias("hi"))
+    windows = c.users.select("user_id", stamp("2024-01-10 00:00:00").alias("lo"), stamp("2024-01-12 00:00:00").alias("hi"))
     return joins.bracket(c.events, windows, "created_at", "lo", "hi", ["user_id"]).select("user_id", "before", "after")
 
 
-NEAREST = "with {v}, q as (select * from vectors where id < {n}) select query_id, rank, id, round(distance, 6) distance from (select q.id query_id, v.id, {d} distance, row_number() over (partition by q.id order by round({d}, 9), v.id) as rank from q, vectors v where v.id <> q.id) where rank <= 5"
+NEAREST = "with {v}, q as (select * from vectors where id % 20 = 0) select query_id, rank, id, round(distance, 6) distance from (select q.id query_id, v.id, {d} distance, row_number() over (partition by q.id order by round({d}, 9), v.id) as rank from q, vectors v where v.id <> q.id) where rank <= 5"
 DIST = {"euclidean": "sqrt(list_sum([(x[1] - x[2]) ** 2 for x in list_zip(q.vector, v.vector)]))", "manhattan": "list_sum([abs(x[1] - x[2]) for x in list_zip(q.vector, v.vector)])", "cosine": "1 - list_inner_product(q.vector, v.vector) / (sqrt(list_inner_product(q.vector, q.vector)) * sqrt(list_inner_product(v.vector, v.vector)))"}
 for kind, expression in DIST.items():
 
-    @register(f"nearest_{kind}", NEAREST.format(v=VECTORS, n=40, d=expression))
+    @register(f"nearest_{kind}", NEAREST.format(v=VECTORS, d=expression))
     def _(c, kind=kind):
-        return joins.nearest(vectors(c).filter("id < 40"), vectors(c), 5, kind).withColumn("distance", F.round("distance", 6)).withColumn("rank", F.col("rank").cast("long"))
+        return joins.nearest(vectors(c).filter("id % 20 = 0"), vectors(c), 5, kind).withColumn("distance", F.round("distance", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("tolerant_result_match")
@@ -372,9 +372,10 @@ def _(c):
     return runs(c).withColumn("before", before).filter("before is not null").groupBy("scenario_id", "before", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("window_hash_shuffle", f"with {RUNS} select run_id, row_number() over (order by sha256(run_id || '::' || scenario_id), run_id) as place from runs where run_id < 500")
+@register("window_hash_shuffle", f"with {RUNS} select run_id, row_number() over (order by sha256(run_id || '::' || scenario_id), run_id) as place from runs")
 def _(c):
-    return runs(c).filter("run_id < 500").select("run_id", F.row_number().over(Window.orderBy(F.sha2(F.concat_ws("::", "run_id", "scenario_id"), 256), "run_id")).cast("long").alias("place"))
+    keyed = runs(c).select("run_id", F.sha2(F.concat_ws("::", "run_id", "scenario_id"), 256).alias("h"))
+    return rewrite.ranked_by_hash(keyed, "h", "run_id").select("run_id", "place")
 
 
 @register("window_stratified_quota", f"with {RUNS} select scenario_id, run_id from (select *, row_number() over (partition by scenario_id order by sha256(cast(run_id as varchar)), run_id) rn from runs) where rn <= 3")
@@ -489,9 +490,9 @@ def _(c):
     return gain_rows(c).groupBy("scenario_id").pivot("action", ["work_mem", "pushdown", "colocate"]).agg(F.max("gain"))
 
 
-@register("agg_one_hot", f"with {RUNS} select run_id, cast(state = 'F' as int) state__F, cast(state = 'O' as int) state__O, cast(state = 'P' as int) state__P from runs where run_id < 300")
+@register("agg_one_hot", f"with {RUNS} select run_id, cast(state = 'F' as int) state__F, cast(state = 'O' as int) state__O, cast(state = 'P' as int) state__P from runs")
 def _(c):
-    return A.one_hot(runs(c).filter("run_id < 300").select("run_id", "state"), "state", ["F", "O", "P"]).drop("state")
+    return A.one_hot(runs(c).select("run_id", "state"), "state", ["F", "O", "P"]).drop("state")
 
 
 @register("agg_instance_summary", f"with {RUNS} select scenario_id, count(*) runs, round(count(*) filter (where not completed) / count(*), 6) failure_rate, round(avg({DX('elapsed_seconds')}), 5) mean, round(median(elapsed_seconds), 6) median, round(stddev_pop(elapsed_seconds) / avg(elapsed_seconds), 5) cv, count(distinct signature) fingerprints from runs group by 1")

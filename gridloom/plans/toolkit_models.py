@@ -196,15 +196,19 @@ def _(c):
     return ranked.groupBy("scenario_id", "action").agg(F.count(F.lit(1)).alias("attempts"), F.max("status_rank").alias("best_rank")).join(best, ["scenario_id", "action"])
 
 
-TEXTS = "texts as (select item_id, 'SELECT count(*) , ''' || substring(replace(text, '''', ''), 1, 20) || ''' FROM t -- note' || chr(10) || ' WHERE tenant_id = ' || item_id || ' /* x */ GROUP BY 1 ORDER BY 2' sql from benchmark)"
+TEXTS = "texts as (select item_id, 'SELECT count(*) , ''' || replace(text, '''', '') || ''' FROM t -- note' || chr(10) || ' WHERE tenant_id = ' || item_id || ' /* x */ GROUP BY 1 ORDER BY 2' sql from benchmark)"
 
 
 def query_texts(c: Catalog) -> DataFrame:
-    text = F.concat(F.lit("SELECT count(*) , '"), F.substring(F.replace(F.col("text"), F.lit("'"), F.lit("")), 1, 20), F.lit("' FROM t -- note\n WHERE tenant_id = "), F.col("item_id").cast("string"), F.lit(" /* x */ GROUP BY 1 ORDER BY 2"))
+    text = F.concat(F.lit("SELECT count(*) , '"), F.replace(F.col("text"), F.lit("'"), F.lit("")), F.lit("' FROM t -- note\n WHERE tenant_id = "), F.col("item_id").cast("string"), F.lit(" /* x */ GROUP BY 1 ORDER BY 2"))
     return c.table("benchmark").select("item_id", text.alias("sql"))
 
 
-@register("evidence_sql_normalized", f"with {TEXTS} select item_id, sha256(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql, '--[^\\n]*', ' ', 'g'), '/\\*.*?\\*/', ' ', 'gs'), '''(?:[^'']|'''')*''', '?', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', '?', 'g'), '\\s+', ' ', 'g')))) sql_hash from texts")
+SQL_TOKENS = r"--[^\n]*|/\*(?s:.*?)\*/|'(?:[^']|'')*'|[A-Za-z_][A-Za-z0-9_$]*|[0-9]+(?:\.[0-9]+)?|\s+|(?s:.)"
+BLANKED = "case when t like '--%' or t like '/*%' then ' ' when t like '''%''' or regexp_matches(t, '^[0-9]') then '?' when trim(t, ' ' || chr(9) || chr(10) || chr(13)) = '' then ' ' else lower(t) end"
+
+
+@register("evidence_sql_normalized", f"with {TEXTS}, k as (select item_id, list_transform(regexp_extract_all(sql, '{SQL_TOKENS.replace(chr(39), chr(39) * 2)}'), lambda t: {BLANKED}) t from texts) select item_id, sha256(trim(regexp_replace(array_to_string(t, ''), ' +', ' ', 'g'))) sql_hash from k")
 def _(c):
     return query_texts(c).select("item_id", F.sha2(structure.normalized_sql(F.col("sql")), 256).alias("sql_hash"))
 
@@ -219,8 +223,8 @@ def _(c):
 # --- Models -------------------------------------------------------------------------------------------------------------
 
 
-def start_centers(c: Catalog, k: int, dims: int = 8) -> np.ndarray:
-    return np.array([r.vector for r in vectors(c, dims).filter(F.col("id") < k).orderBy("id").collect()])
+def start_centers(c: Catalog, k: int) -> np.ndarray:
+    return np.array([r.vector for r in vectors(c).filter(F.col("id") < k).orderBy("id").collect()])
 
 
 FCM_D = "fcm_d as (select v.id, v.vector, c.id c, greatest(list_sum([power(x[1] - x[2], 2) for x in list_zip(v.vector, c.vector)]), 1e-12) d from vectors v, centers c)"
@@ -251,7 +255,7 @@ def _(c):
 
 @register("fcm_fit")
 def _(c):
-    centers, objective, steps = models.fit_fcm(vectors(c, 64), start_centers(c, 3, 64), iterations=12)
+    centers, objective, steps = models.fit_fcm(vectors(c), start_centers(c, 3), iterations=12)
     return c.spark.createDataFrame([(i, [float(v) for v in row], float(objective), steps) for i, row in enumerate(centers)], "cluster int, center array<double>, objective double, steps int")
 
 
@@ -260,25 +264,25 @@ def _(c):
     return models.rand_index(vectors(c).withColumn("a", F.col("id") % 10), "a", "label")
 
 
-@register("pca_variance", f"with {VECTORS}, x as (select unnest(vector) v, generate_subscripts(vector, 1) dim from vectors) select round(sum(s), 5) total_variance from (select var_pop(v) s from x group by dim)")
+@register("pca_variance")
 def _(c):
-    _, _, variance = models.principal_components(vectors(c), 8)
-    return c.spark.createDataFrame([(round(float(variance.sum()), 5),)], "total_variance double")
+    _, components, variance = models.principal_components(vectors(c), 6)
+    return c.spark.createDataFrame([(i, round(float(v), 5), [round(float(x), 5) for x in row * np.sign(row[np.abs(row).argmax()])]) for i, (v, row) in enumerate(zip(variance, components, strict=True))], "component int, variance double, loadings array<double>")
 
 
-@register("coverage_threshold", f"with {VECTORS}, q as (select v.id, min(round(sqrt(list_sum([power(x[1] - x[2], 2) for x in list_zip(v.vector, w.vector)])), 9)) d from vectors v, vectors w where v.id <> w.id group by 1) select round(quantile_cont(d, 0.95), 6) threshold from q")
+@register("coverage_threshold", f"with {VECTORS}, q as (select v.id, min(round(sqrt(list_sum([power(x[1] - x[2], 2) for x in list_zip(v.vector, w.vector)])), 9)) d from vectors v, vectors w where v.id % 20 = 0 and v.id <> w.id group by 1) select round(quantile_cont(d, 0.95), 6) threshold from q")
 def _(c):
-    return models.coverage_threshold(joins.nearest(vectors(c), vectors(c), 1), 0.95)
+    return models.coverage_threshold(joins.nearest(vectors(c).filter("id % 20 = 0"), vectors(c), 1), 0.95)
 
 
-KNN = "knn as (select query_id, id, distance from (select q.id query_id, v.id, round(sqrt(list_sum([power(x[1] - x[2], 2) for x in list_zip(q.vector, v.vector)])), 9) distance, row_number() over (partition by q.id order by round(sqrt(list_sum([power(x[1] - x[2], 2) for x in list_zip(q.vector, v.vector)])), 9), v.id) rn from vectors q, vectors v where q.id < 60 and v.id <> q.id) where rn <= 5)"
+KNN = "knn as (select query_id, id, distance from (select q.id query_id, v.id, round(sqrt(list_sum([power(x[1] - x[2], 2) for x in list_zip(q.vector, v.vector)])), 9) distance, row_number() over (partition by q.id order by round(sqrt(list_sum([power(x[1] - x[2], 2) for x in list_zip(q.vector, v.vector)])), 9), v.id) rn from vectors q, vectors v where q.id % 20 = 0 and v.id <> q.id) where rn <= 5)"
 
 
 @register("neighbour_estimate", f"with {VECTORS}, {KNN}, o as (select id, ['a', 'b'][id % 2 + 1] as action, cast(label as double) gain from vectors) select query_id, action, round(sum(gain / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) estimate, count(*) support, min(distance) nearest, case when min(distance) > 5 then 'outside_reference_coverage' else 'available' end status from knn join o using (id) group by 1, 2")
 def _(c):
     v = vectors(c)
     outcomes = v.select("id", F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("action"), F.col("label").cast("double").alias("gain"))
-    return models.neighbour_estimate(joins.nearest(v.filter("id < 60"), v, 5), outcomes, 5.0)
+    return models.neighbour_estimate(joins.nearest(v.filter("id % 20 = 0"), v, 5), outcomes, 5.0)
 
 
 @register("ridge_fit", f"with {VECTORS}, x as (select vector[1] a, vector[2] b, cast(label as double) y from vectors), s as (select count(*) n, avg(a) ma, avg(b) mb, avg(y) my, sum(a * a) - count(*) * avg(a) * avg(a) + 1 aa, sum(b * b) - count(*) * avg(b) * avg(b) + 1 bb, sum(a * b) - count(*) * avg(a) * avg(b) ab, sum(a * y) - count(*) * avg(a) * avg(y) ay, sum(b * y) - count(*) * avg(b) * avg(y) byy from x) select round((ay * bb - byy * ab) / (aa * bb - ab * ab), 5) w_a, round((byy * aa - ay * ab) / (aa * bb - ab * ab), 5) w_b from s")
@@ -338,9 +342,9 @@ def _(c):
     return interventions.multiset_hash(runs(c), ["scenario_id", "action", "state"])
 
 
-@register("result_sequence_hash", f"with {RUNS} select sha256(string_agg(scenario_id || '|' || state, chr(10) order by run_id)) sequence_sha256, count(*) row_count from runs where run_id < 2000")
+@register("result_sequence_hash", f"with {RUNS}, b as (select run_id // 1024 b, sha256(string_agg(scenario_id || '|' || state, chr(10) order by run_id)) h, count(*) n from runs group by 1), s as (select b // 1024 s, sha256(string_agg(h, chr(10) order by b)) h, sum(n) n from b group by 1) select sha256(string_agg(h, chr(10) order by s)) sequence_sha256, cast(sum(n) as bigint) row_count from s")
 def _(c):
-    return interventions.sequence_hash(runs(c).filter("run_id < 2000"), ["scenario_id", "state"], ["run_id"])
+    return interventions.sequence_hash(runs(c), ["scenario_id", "state"], "run_id")
 
 
 @register("relative_change", WG + "select scenario_id, action, round(2.0 * (after - before) / (abs(after) + abs(before) + 0.1), 6) change from gains")
@@ -438,10 +442,10 @@ def member_rows(c: Catalog) -> DataFrame:
     return models.memberships(vectors(c), start_centers(c, 4)).select("id", "label", F.posexplode("u").alias("cluster", "u"))
 
 
-@register("memory_estimates", f"with {MEMBER}, j as (select q.id query_id, ['a','b'][e.id % 2 + 1] as action, e.id episode_id, sum(least(q.u, e.u)) w, max(x.label) gain from fcm_u q join fcm_u e on e.c = q.c join vectors x on x.id = e.id where q.id between 30 and 60 and e.id < q.id group by 1, 2, 3) select query_id, action, round(sum(w * gain) / sum(w), 6) estimate, round(sqrt(greatest(sum(w * gain * gain) / sum(w) - power(sum(w * gain) / sum(w), 2), 0)), 4) deviation, round(power(sum(w), 2) / sum(w * w), 6) support, case when round(power(sum(w), 2) / sum(w * w), 6) < 10 then 'provisional' else 'available' end status from j group by 1, 2")
+@register("memory_estimates", f"with {MEMBER}, j as (select q.id query_id, ['a','b'][e.id % 2 + 1] as action, e.id episode_id, sum(least(q.u, e.u)) w, max(x.label) gain from fcm_u q join fcm_u e on e.c = q.c join vectors x on x.id = e.id where q.id % 20 = 0 and e.id < q.id group by 1, 2, 3) select query_id, action, round(sum(w * gain) / sum(w), 6) estimate, round(sqrt(greatest(sum(w * gain * gain) / sum(w) - power(sum(w * gain) / sum(w), 2), 0)), 4) deviation, round(power(sum(w), 2) / sum(w * w), 6) support, case when round(power(sum(w), 2) / sum(w * w), 6) < 10 then 'provisional' else 'available' end status from j group by 1, 2")
 def _(c):
     m = member_rows(c)
-    queries = m.filter(F.col("id").between(30, 60)).select(F.col("id").alias("query_id"), F.col("id").alias("query_order"), "cluster", "u")
+    queries = m.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("id").alias("query_order"), "cluster", "u")
     episodes = m.select(F.col("id").alias("episode_id"), F.col("id").alias("episode_order"), "cluster", "u", F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("id") % 2 + 1).cast("int")).alias("action"), F.col("label").cast("double").alias("gain"))
     return interventions.memory_estimates(queries, episodes, 10.0)
 
@@ -460,9 +464,9 @@ def _(c):
     return interventions.coverage_curve(m)
 
 
-@register("leakage_audit", WG + "select scenario_id decision_id, scenario_id episode_id from gains where false")
+@register("leakage_audit", WG + "select scenario_id decision_id, scenario_id * 7 % 50 episode_id from gains where scenario_id * 7 % 50 >= scenario_id and scenario_id * 7 % 50 in (select scenario_id from gains)")
 def _(c):
-    decisions = gain_rows(c).select(F.col("scenario_id").alias("decision_id"), F.col("scenario_id").alias("decision_order"), (F.col("scenario_id") - 1).alias("episode_id"))
+    decisions = gain_rows(c).select(F.col("scenario_id").alias("decision_id"), F.col("scenario_id").alias("decision_order"), (F.col("scenario_id") * 7 % 50).alias("episode_id"))
     evidence = decisions.select(F.col("decision_id").alias("episode_id"), F.col("decision_order").alias("evidence_order")).distinct()
     return interventions.future_rows(decisions, evidence)
 
@@ -472,15 +476,9 @@ def _(c):
     return interventions.repeatability(runs(c))
 
 
-@register("distance_geometry", f"with {VECTORS}, p as (select sqrt(list_sum([power(x[1] - x[2], 2) for x in list_zip(a.vector, b.vector)])) d, abs(a.label - b.label) r from vectors a join vectors b on a.id < b.id where a.id < 80 and b.id < 80) select count(*) pairs, round(corr(d, r), 5) correlation, round(avg(d) filter (where r = 0), 5) same_label_distance from p")
+@register("distance_geometry", f"with {VECTORS}, p as (select sqrt(list_sum([power(x[1] - x[2], 2) for x in list_zip(a.vector, b.vector)])) d, abs(a.label - b.label) r from vectors a join vectors b on a.id <> b.id where a.id % 20 = 0) select count(*) pairs, round(corr(d, r), 5) correlation, round(avg(d) filter (where r = 0), 5) same_label_distance from p")
 def _(c):
-    v = vectors(c).filter("id < 80")
-    a, b = v.select(F.col("id").alias("i"), F.col("vector").alias("p"), F.col("label").alias("l")), v.select(F.col("id").alias("j"), F.col("vector").alias("q"), F.col("label").alias("m"))
-    # A stated set of 80 states against itself.
-    pairs = a.join(F.broadcast(b), F.col("i") < F.col("j")).select(X.distance(F.col("p"), F.col("q")).alias("d"), F.abs(F.col("l") - F.col("m")).alias("r"))
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.round(F.corr("d", "r"), 5).alias("correlation"), F.round(F.avg(F.when(F.col("r") == 0, F.col("d"))), 5).alias("same_label_distance"))
-
-
+    return models.distance_geometry(vectors(c).filter("id % 20 = 0"), vectors(c))
 
 
 def fuzzifier_sql(m: float) -> str:
@@ -495,7 +493,7 @@ def _(c):
 
 @register("kmeans_clusters")
 def _(c):
-    return models.kmeans(vectors(c, 64), 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return models.kmeans(vectors(c), 4).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("regression_elastic_net")
