@@ -275,3 +275,57 @@ def test_fits_use_whole_embeddings(spark, data, monkeypatch):
     monkeypatch.setattr(models, "kmeans", lambda rows, k: seen.append(len(rows.first()["vector"])) or kmeans(rows, k))
     assert queries["kmeans_clusters"](spark, data).count() > 0 and seen == [64]
     assert {len(r.center) for r in queries["fcm_fit"](spark, data).collect()} == {64}
+
+
+def test_fingerprints_tell_conditions_apart_but_not_literals():
+    from gridloom.plans.structure import fingerprint
+
+    plan = lambda condition: [{"Plan": {"Node Type": "Seq Scan", "Relation Name": "events", "Filter": condition, "Actual Rows": 3}}]
+    assert fingerprint(plan("(a > 1)")) == fingerprint(plan("(a  >  25.5)")) != fingerprint(plan("(b < 1)"))
+    assert fingerprint(plan("(a1 = 'x''y')")) == fingerprint(plan("(A1 = 'z')")) != fingerprint(plan("(a2 = 'z')"))
+
+
+def test_sql_tokens_are_read_from_left_to_right(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.plans.structure import normalized_sql
+
+    cases = {
+        "SELECT  1,'it''s --no comment' -- note 7\n FROM t1 /* -- x */ WHERE a=2.50": "select ?,? from t1 where a=?",
+        "select $tag$ 'a' $tag$ || $$b$$, \"Col\" from x2y": 'select ? || ?, "col" from x2y',
+        "/* a ' b */ select '/* c */'": "select ?",
+        "": "",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "sql string").select("sql", normalized_sql(F.col("sql")).alias("n")).collect()
+    assert {r.sql: r.n for r in got} == cases
+
+
+def test_feature_selection_by_schema():
+    from gridloom.operators.evidence import select_features
+
+    schema = [
+        {"name": "a", "model_role": "input", "included_in_default_model": True},
+        {"name": "b", "source_column": "raw_b", "model_role": "input", "included_in_default_model": True},
+        {"pattern": "x_*", "model_role": "input", "structural_feature": True},
+        {"name": "deep", "model_role": "input", "included_in_default_model": True, "requires_topology": ["sharded", "federated"]},
+        {"name": "target", "model_role": "label", "included_in_default_model": True},
+        {"name": "a", "source_column": "other", "model_role": "input", "included_in_default_model": True},
+    ]
+    columns, order = ["x_1", "a", "raw_b", "ax_2", "x_2", "deep", "other", "target"], ("single", "sharded", "federated")
+    assert select_features(schema, columns, "m0", "single", order) == {"a": "a", "b": "raw_b"}
+    assert select_features(schema, columns, "m1", "federated", order) == {"a": "a", "b": "raw_b", "x_1": "x_1", "x_2": "x_2", "deep": "deep"}
+
+
+def test_components_equal_numpy(spark, data):
+    import numpy as np
+
+    from gridloom.operators import models
+    from gridloom.plans.toolkit import vectors
+    from gridloom.sources.catalog import Catalog
+
+    rows = vectors(Catalog(spark, data))
+    x = np.array([r.vector for r in rows.collect()])
+    mean, components, variance = models.principal_components(rows, 5)
+    values, found = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(variance, values[::-1][:5])
+    assert np.allclose(np.abs((components * found.T[::-1][:5]).sum(axis=1)), 1, atol=1e-6)
