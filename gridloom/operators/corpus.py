@@ -64,7 +64,7 @@ STAGE_A: dict[str, Rollup] = {
 EU = ("eu",)
 FOREIGN: dict[str, Rollup] = {
     "a1_daily_kpi_30d": Rollup(("day",), ("total_value", "events_count"), where=D30, regions=TWO, raw=True, order=("day",)),
-    "a2_tenant_local_pushdown": Rollup(("tenant_id",), ("total_value", "events_count"), where="tenant_id = 7", regions=TWO, raw=True),
+    "a2_tenant_local_pushdown": Rollup(("tenant_id",), ("total_value", "events_count"), where="tenant_id = 8", regions=TWO, raw=True),
     "a3_tenant_top_50": Rollup(("tenant_id",), ("total_value",), where=D21, regions=TWO, raw=True, order=value_order("tenant_id"), limit=50),
     "a4_user_top_100": Rollup(("tenant_id", "user_id"), ("total_value",), where=D21, regions=TWO, raw=True, order=value_order("tenant_id", "user_id"), limit=100),
     "a5_region_daily_join": Rollup(("region_name", "day"), ("total_value",), ("tenants",), D14, TWO, raw=True, order=("day",)).but(keys=("tenant_region", "day")),
@@ -79,7 +79,7 @@ FOREIGN: dict[str, Rollup] = {
     "event_full_scan_summary": Rollup(measures=("events_count", "avg_value", "min_value", "max_value"), regions=EU, raw=True),
     "global_user_join": Rollup(GLOBAL, COUNTS, ("global_users",), D14, EU, raw=True, order=value_order(*GLOBAL), limit=TOP),
     "multi_dimension_rollup": Rollup(("tenant_tier", "user_segment", "event_day"), ("events_count", "total_value", "avg_value"), ("tenants", "users"), D14, EU, raw=True, order=("event_day", "-total_value", "tenant_tier", "user_segment"), limit=100),
-    "tenant_point_rollup": Rollup(("tenant_id",), POINT, where=f"tenant_id = 7 and {D14}", regions=EU, raw=True),
+    "tenant_point_rollup": Rollup(("tenant_id",), POINT, where=f"tenant_id = 8 and {D14}", regions=EU, raw=True),
     "tenant_tier_join": Rollup(("tenant_tier", "event_day"), COUNTS, ("tenants",), D14, EU, raw=True, order=("event_day", "-total_value", "tenant_tier")),
     "tenant_tier_left_join": Rollup(("tenant_tier_or_unknown", "event_day"), COUNTS, ("tenants",), D14, EU, raw=True, order=("event_day", "-total_value", "tenant_tier"), limit=100, left=frozenset(("tenants",))),
     "top_tenants": Rollup(("tenant_id",), POINT, where=D14, regions=EU, raw=True, order=value_order("tenant_id"), limit=10),
