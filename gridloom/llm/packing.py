@@ -15,12 +15,15 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from gridloom.llm.common import doc_and_text, small_batches
 from gridloom.llm.encoding import encoder
 
+#: Bytes of text that are encoded at once: what a batch's words and ids take together is many times its text.
+ENCODED = 4 << 20
 #: Windows of a full group, and tokens a window leaves free for imbalance.
 GROUP_WINDOWS = 64
 SLACK = 16
@@ -114,6 +117,14 @@ def _fine_end(group: list[tuple]) -> list[tuple]:
     return out[::-1]
 
 
+def parts_of(batch: pa.RecordBatch, most: int = ENCODED) -> Iterator[pa.RecordBatch]:
+    """The batch (doc_id, text) in runs of rows of about `most` bytes of text at most, or of one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes, dtype=np.int64) // most
+    edges = [0, *(np.nonzero(np.diff(run))[0] + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a)
+
+
 def padding_of(length: int, capacity: int) -> int:
     """Padding a window costs: none when its length is a power of two, else up to the capacity."""
     return 0 if length & (length - 1) == 0 else capacity - length
@@ -162,7 +173,7 @@ def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 4096,
 
         def pieces() -> Iterator[tuple]:
             nonlocal doc_type
-            for batch in batches:
+            for batch in (part for whole in batches for part in parts_of(whole)):
                 doc_type, at = batch.schema.field(0).type, 0
                 ends, ids = encode.ended(batch.column(1), end_id)
                 for doc, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):

@@ -44,10 +44,13 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> list[int]:
 
 def fingerprint(text: str, words: int = 3) -> int:
     """64 bits, each 1 if it is set in over half of the shingle hashes; as a signed integer."""
-    hashes = shingle_hashes(text, words)
-    if not hashes:
+    return _majority(np.array(shingle_hashes(text, words), np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
         return 0
-    bits = np.unpackbits(np.array(hashes, np.dtype(">u8")).view(np.uint8)).reshape(-1, 64)
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64)
     majority = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes))
     return int.from_bytes(majority.tobytes(), "big", signed=True)
 
@@ -146,7 +149,7 @@ def _sketch(found: np.ndarray) -> np.ndarray:
 
 
 def prefixes(documents: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, same, n (distinct shingles), prefix (the first of them, rare ones before frequent ones) and sketch of every whole text."""
+    """doc_id, same, n (distinct shingles), fp, prefix (the first shingles, rare ones before frequent ones) and sketch of every whole text."""
     frequent, often = _frequent(documents, words)
 
     def first(found: np.ndarray) -> np.ndarray:
@@ -160,13 +163,17 @@ def prefixes(documents: DataFrame, words: int, similarity: float) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch)
-        sets = [_set(t, words) for t in texts]
+        sets, prints = [], []
+        for t in texts:
+            hashes = np.array(shingle_hashes(t, words), np.uint64)
+            prints.append(_majority(hashes))
+            sets.append(np.unique(hashes))
         sketches = np.array([_sketch(x) for x in sets]).reshape(-1, len(SKETCHES))
-        columns = [batch.column(0), pa.array(map(_same, texts), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(first, sets), LONGS), *map(pa.array, sketches.T.copy())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "prefix", *SKETCHES])
+        columns = [batch.column(0), pa.array(map(_same, texts), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(prints, pa.int64()), pa.array(map(first, sets), LONGS), *map(pa.array, sketches.T.copy())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "fp", "prefix", *SKETCHES])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, n int, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCHES))
+    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, n int, fp long, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCHES))
 
 
 def _drop(*tables: DataFrame) -> None:
@@ -198,6 +205,19 @@ def _sets(documents: DataFrame, needed: DataFrame, words: int, view: Callable[[n
     return made.join(needed, "same", "left_semi").groupBy("same").agg(F.first("view").alias("view"))
 
 
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """u, v, total: candidates by multi-index hashing, from classes (same, n, fp).
+
+    The classes of one fingerprint meet the first of them, and the first ones of fingerprints at most three bits apart each other.
+    """
+    classes = classes.filter("n > 0")
+    firsts = durable(classes.groupBy("fp").agg(F.min(F.struct("same", "n")).alias("l")).select("fp", "l.*"), "fingerprint-firsts")
+    one = classes.alias("a").join(firsts.alias("b"), "fp").filter("a.same != b.same").select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), (F.col("a.n") + F.col("b.n")).alias("total"))
+    left, right = (firsts.select(F.col("fp").alias(x), F.col("same").alias(f"same_{x}"), F.col("n").alias(f"n_{x}")) for x in "uv")
+    near = close_pairs(firsts.select("fp")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(left, "u").join(right, "v")
+    return one.union(near.select("same_u", "same_v", F.col("n_u") + F.col("n_v")))
+
+
 def _may_be_alike(a: str, b: str, similarity: float) -> Column:
     """Of postings a and b of one shingle, by sizes, places in the order and sketches: false only if the sets can't be that similar."""
     most = F.least(f"{a}.place", f"{b}.place") + 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place")) - 1
@@ -249,14 +269,15 @@ def _alike(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words: in
     return pairs.select("u", "v")
 
 
-def _open(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Postings with their components, of shingles whose members are not all in one."""
-    if roots is None:
-        labelled = postings.withColumn("component", F.col("same"))
-    else:
-        labelled = postings.join(roots, postings["same"] == roots["node"], "left").select(*postings.columns, F.coalesce("root", "same").alias("component"))
+def _with_component(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    columns = [x for x in classes.columns if x != "component"]
+    return classes.join(roots, classes["same"] == roots["node"], "left").select(*columns, F.coalesce("root", "same").alias("component"))
+
+
+def _open(postings: DataFrame) -> DataFrame:
+    """Postings (with components) of shingles whose members are not all in one component."""
     everyone = Window.partitionBy("key")
-    return labelled.withColumn("lo", F.min("component").over(everyone)).withColumn("hi", F.max("component").over(everyone)).filter("lo < hi").drop("lo", "hi")
+    return postings.withColumn("lo", F.min("component").over(everyone)).withColumn("hi", F.max("component").over(everyone)).filter("lo < hi").drop("lo", "hi")
 
 
 def _few_pairs(postings: DataFrame) -> bool:
@@ -272,37 +293,40 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
     """doc_id, group_id (least doc_id of its group) of every document with a doc_id.
 
     Texts of equal words are one class. Classes are linked when the sets of their shingles of `words` words have at least that
-    Jaccard similarity. Such sets share a shingle of their prefixes; rounds compare the members of a prefix shingle's postings with a
-    leader, then with another among those still apart, until few pairs are left or few links are found, which keeps large groups from
-    making pairs. At the end all members that are still apart are compared with each other, so that no pair is left out.
+    Jaccard similarity. SimHash fingerprints of the same shingles, looked up by multi-index hashing, give the first candidates, which
+    are held against the sets. Sets of that similarity can have fingerprints more than three bits apart, but share a shingle of their
+    prefixes: rounds compare the members of a prefix shingle's postings that are still apart with a leader, then with another, until
+    few pairs are left or few links are found, which keeps large groups from making pairs. At the end all members that are still
+    apart are compared with each other, so that no pair is left out.
     """
     documents = documents.filter("doc_id is not null")
     found = durable(prefixes(documents, words, similarity), "prefixes")
     prints = durable(found.select("doc_id", "same"), "prints")
     classes = durable(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "classes")
-    arrays = found.groupBy("same").agg(*[F.first(x).alias(x) for x in ("n", "prefix", *SKETCHES)])
-    postings = durable(_open(arrays.select("same", "n", *SKETCHES, F.posexplode("prefix").alias("place", "key")), None), "postings")
+    marks = durable(found.groupBy("same").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "marks")
+    links = _alike(durable(_fingerprint_pairs(marks), "candidates"), documents, classes, words, similarity)
+    roots = connected_components(links)
+    arrays = _with_component(found.groupBy("same").agg(*[F.first(x).alias(x) for x in ("n", "prefix", *SKETCHES)]), roots)
+    postings = durable(_open(arrays.select("same", "n", *SKETCHES, "component", F.posexplode("prefix").alias("place", "key"))), "postings")
     _drop(found)
-    links, roots, order, linked, worth = None, None, 0, None, classes.count() // WORTH
+    order, linked, worth = 0, None, classes.count() // WORTH
     while True:
-        last = linked is not None and linked <= worth or _few_pairs(postings)
+        # One round of leaders comes first in any case, so that larger tables have no joins that small ones lack.
+        last = linked is not None and (linked <= worth or _few_pairs(postings))
         pairs = durable(_all_pairs(postings, similarity) if last else _leader_pairs(postings, similarity, order), "candidates")
         found = _alike(pairs, documents, classes, words, similarity)
         linked = found.count()
         if linked:
-            links = found if links is None else links.union(found)
+            links = links.union(found)
             roots = connected_components(links)
         if last:
             _drop(postings)
             break
-        if linked:
-            before, postings = postings, durable(_open(postings.drop("component"), roots), "postings")
-            _drop(before)
+        before, postings = postings, durable(_open(_with_component(postings, roots)), "postings")
+        _drop(before)
         order += 1
-    if links is None:
-        return prints.join(classes, "same").select("doc_id", F.col("first").alias("group_id"))
-    labelled = durable(classes.join(roots, classes["same"] == roots["node"], "left").select("same", "first", F.coalesce("root", "same").alias("root")), "labelled")
-    groups = labelled.join(labelled.groupBy("root").agg(F.min("first").alias("group_id")), "root").select("same", "group_id")
+    labelled = durable(_with_component(classes, roots), "labelled")
+    groups = labelled.join(labelled.groupBy("component").agg(F.min("first").alias("group_id")), "component").select("same", "group_id")
     return prints.join(groups, "same").select("doc_id", "group_id")
 
 

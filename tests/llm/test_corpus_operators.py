@@ -705,6 +705,37 @@ def test_near_copies_beside_unlike_leaders(spark, monkeypatch):
     assert got == {d: d - 1 if d % 100 == 1 else d for d, _ in table}
 
 
+def test_near_copies_start_from_fingerprints(spark, monkeypatch):
+    """Multi-index hashing gives the first candidates: every two classes within three bits are linked over them."""
+    rng, table = random.Random(12), []
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(3000)}" for _ in range(n)]
+    for g in range(25):
+        words = fresh(900)
+        table += [(g * 10 + k, " ".join(words + fresh(2 * k))) for k in range(4)]
+    table += [(900, ""), (901, None)]
+    asked, close = [], simhash.close_pairs
+    monkeypatch.setattr(simhash, "close_pairs", lambda distinct, *more: asked.append(distinct.count()) or close(distinct, *more))
+    frame = spark.createDataFrame(table, "doc_id long, text string")
+    found = {(r.same, r.n, r.fp) for r in simhash.prefixes(frame, 5, 0.8).collect()}
+    marks = spark.createDataFrame(sorted(found), "same long, n int, fp long")
+    near = {(r.u, r.v) for r in simhash._fingerprint_pairs(marks).collect()}
+    parts = dict(components.forest(sorted(near)))
+    full = [x for x in sorted(found) if x[1]]
+    within = [(a[0], b[0]) for i, a in enumerate(full) for b in full[:i] if ((a[2] ^ b[2]) & (2**64 - 1)).bit_count() <= 3]
+    assert len(within) > 25 and all(parts.get(a, a) == parts.get(b, b) for a, b in within)
+    got = {r.doc_id: r.group_id for r in simhash.near_copy_groups(frame).collect()}
+    assert got == {d: 900 if d >= 900 else d - d % 10 for d, _ in table} and len(asked) == 2 and min(asked) > 25
+
+
+def test_texts_are_packed_in_small_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 60, None, "", "b" * 60, "c" * 300, "d"])], names=["doc_id", "text"])
+    parts = list(packing.parts_of(batch, 100))
+    assert pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch) and [p.num_rows for p in parts] == [3, 1, 2]
+    assert list(packing.parts_of(batch.slice(0, 0), 100)) == []
+
+
 # --- 10 search
 
 
