@@ -43,9 +43,20 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, root (its component's least node, itself excluded) from edges (u long, v long). No edges give no rows."""
+def _contract_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _contract, over all batches together."""
+    held = list(batches)
+    yield from _contract(iter(pa.Table.from_batches(held).combine_chunks().to_batches() if held else []))
+
+
+def connected_components(edges: DataFrame, at_once: int = 0) -> DataFrame:
+    """node, root (its component's least node, itself excluded) from edges (u long, v long). No edges give no rows.
+
+    Up to `at_once` edges are contracted by one task, without rounds.
+    """
     edges = durable(edges.select("u", "v").mapInArrow(_contract, "u long, v long"), "edges")
+    if at_once and edges.count() <= at_once:
+        return durable(edges.coalesce(1).mapInArrow(_contract_all, "u long, v long").toDF("node", "root"), "edges")
     seen = None
     while True:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

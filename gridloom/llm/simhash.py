@@ -107,6 +107,8 @@ SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
 SATURATED = 1200
 #: Pairs a posting that are compared at once, without another round of leaders; a round that links fewer than one class in so many is the last of leaders.
 PAIRS_A_POSTING, WORTH = 4, 200
+#: Edges whose components one task finds, without rounds.
+AT_ONCE = 15_000
 #: Saturated pairs that are compared at once, without counts in bins.
 COMPARED = 1_000
 LONGS = pa.list_(pa.int64())
@@ -231,9 +233,10 @@ def _leader_pairs(postings: DataFrame, similarity: float, order: int) -> DataFra
 
     A leader is the first member by a hash that `order` seeds: rows grow with postings, not with pairs.
     """
-    rank = F.struct(F.xxhash64("same", F.lit(order)).alias("rank"), "same", "n", "place", "component", *SKETCHES)
-    leaders = postings.groupBy("key").agg(F.min(rank).alias("l")).select("key", "l.*")
-    met = postings.alias("a").join(leaders.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & _may_be_alike("a", "b", similarity))
+    columns = ("same", "n", "place", "component", *SKETCHES)
+    rank = F.struct(F.xxhash64("same", F.lit(order)).alias("rank"), *columns)
+    met = postings.select(F.struct(*columns).alias("a"), F.min(rank).over(Window.partitionBy("key")).alias("b"))
+    met = met.filter((F.col("a.component") != F.col("b.component")) & _may_be_alike("a", "b", similarity))
     return met.select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), (F.col("a.n") + F.col("b.n")).alias("total")).distinct()
 
 
@@ -242,7 +245,7 @@ def _all_pairs(postings: DataFrame, similarity: float) -> DataFrame:
 
     Long postings are cut into blocks, each of which meets all members; what can't be alike is left out within the join.
     """
-    sized = postings.withColumn("blocks", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / POSTINGS_BLOCK))
+    sized = postings.withColumn("blocks", F.ceil(F.col("members") / POSTINGS_BLOCK))
     a = sized.withColumn("block", F.pmod(F.xxhash64("same"), "blocks")).alias("a")
     b = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") < F.col("b.component"))
@@ -275,9 +278,10 @@ def _with_component(classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open(postings: DataFrame) -> DataFrame:
-    """Postings (with components) of shingles whose members are not all in one component."""
+    """Postings (with components) of shingles whose members are not all in one component, and how many members each shingle has."""
     everyone = Window.partitionBy("key")
-    return postings.withColumn("lo", F.min("component").over(everyone)).withColumn("hi", F.max("component").over(everyone)).filter("lo < hi").drop("lo", "hi")
+    sized = {"lo": F.min("component").over(everyone), "hi": F.max("component").over(everyone), "members": F.count(F.lit(1)).over(everyone)}
+    return postings.withColumns(sized).filter("lo < hi").drop("lo", "hi")
 
 
 def _few_pairs(postings: DataFrame) -> bool:
@@ -305,7 +309,7 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
     classes = durable(prints.groupBy("same").agg(F.min("doc_id").alias("first")), "classes")
     marks = durable(found.groupBy("same").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "marks")
     links = _alike(durable(_fingerprint_pairs(marks), "candidates"), documents, classes, words, similarity)
-    roots = connected_components(links)
+    roots = connected_components(links, AT_ONCE)
     arrays = _with_component(found.groupBy("same").agg(*[F.first(x).alias(x) for x in ("n", "prefix", *SKETCHES)]), roots)
     postings = durable(_open(arrays.select("same", "n", *SKETCHES, "component", F.posexplode("prefix").alias("place", "key"))), "postings")
     _drop(found)
@@ -318,7 +322,7 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
         linked = found.count()
         if linked:
             links = links.union(found)
-            roots = connected_components(links)
+            roots = connected_components(links, AT_ONCE)
         if last:
             _drop(postings)
             break

@@ -635,6 +635,14 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_few_edges_are_contracted_at_once(spark):
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(6000)], "u long, v long").repartition(7)
+    wanted = {r.node: r.root for r in components.connected_components(edges).collect()}
+    assert {r.node: r.root for r in components.connected_components(edges, 10_000).collect()} == wanted and wanted[7000] == 1000
+    assert components.connected_components(edges.limit(0), 10).count() == 0
+
+
 def shingles(text: str, n: int = 5) -> frozenset:
     w = text.lower().split()
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
