@@ -833,6 +833,24 @@ def test_registered_queries(spark, data):
         assert entry.queries()[name](spark, data).count() == small
 
 
+def test_chosen_queries_are_asked_with_their_own_terms(monkeypatch):
+    """A shard that is asked for some queries looks up no terms of others, and finds what it finds for all."""
+    rng = np.random.default_rng(5)
+    rows = [(q, np.unique(rng.integers(0, 400, 12)), None) for q in range(50)]
+    asked = bm25.Queries.of([(q, t, rng.random(len(t))) for q, t, _ in rows])
+    terms = np.arange(0, 400, 2)
+    places = np.concatenate([np.sort(rng.choice(90, 6, replace=False)) for _ in terms])
+    shard = bm25.Shard(np.arange(90), np.full(90, 20), terms, np.arange(1, len(terms) + 1) * 6, places, rng.integers(1, 4, len(places)), 20.0)
+    every, least = np.full(50, -np.inf), np.full(50, -np.inf)
+    whole = list(zip(*(x.tolist() for x in shard.search(asked, every, 4)), strict=True))
+    seen, batch = [], bm25.Shard._batch
+    monkeypatch.setattr(bm25.Shard, "_batch", lambda self, queries, *more: seen.append(len(queries.ids)) or batch(self, queries, *more))
+    chosen = np.isin(np.arange(50), (3, 17, 41))
+    part = list(zip(*(x.tolist() for x in shard.search(asked, least, 4, chosen)), strict=True))
+    assert part and sorted(part) == sorted(x for x in whole if x[0] in (3, 17, 41)) and seen == [3]
+    assert np.array_equal(least[chosen], every[chosen]) and np.isinf(least[~chosen]).all()
+
+
 def test_pipeline_stages(spark, data, libraries):
     import corpus_pipeline
 
