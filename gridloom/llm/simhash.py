@@ -9,7 +9,7 @@ one of its zero bits set (the other side of such a pair needs no lookup). Matche
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import doc_and_text, drop_path, durable, map_batches, texts_of
+from gridloom.llm.common import doc_and_text, drop_path, durable, map_batches, small_batches, texts_of
 from gridloom.llm.components import connected_components
 
 #: A-Z to a-z, other bytes as they are.
@@ -96,8 +96,9 @@ def near_duplicates(documents: DataFrame, words: int = 3, distance: int = 3) ->
 
 #: Ids that are broadcast, eight bytes each.
 BROADCAST_IDS = 1_000_000
-#: Documents and frequent shingles (in FREQUENT_DOCS of them or more) by which shingles are ordered. Any order gives the same result.
-ORDER_DOCS, ORDER_SHINGLES, FREQUENT_DOCS = 10_000, 100_000, 3
+#: Shingles that a task counts at once, and frequent shingles (in FREQUENT_DOCS documents or more) by which shingles are ordered. Any order
+#: gives the same result.
+COUNTED, ORDER_SHINGLES, FREQUENT_DOCS = 4_000_000, 1_000_000, 3
 #: Members of a shingle's postings that are compared with all others in one task.
 POSTINGS_BLOCK = 512
 #: Bits of a set's parity sketch, and its columns of 64 bits.
@@ -129,16 +130,32 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def _frequent(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent shingles (sorted) and their counts, from a fixed choice of documents: they come last in the order of shingles."""
-    one_of = max(1, documents.count() // ORDER_DOCS)
-    chosen = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_of)) == 0)
+    """Frequent shingles (sorted) and their counts, from all documents: they come last in the order of shingles.
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([_set(t, words).view(np.int64) for t in texts_of(batch)], LONGS)], names=["shingles"])
+    A task counts COUNTED shingles at once and sends on what is there twice or more: what is in few documents meets itself in no task, and
+    how many they may be grows with the root of the number of tasks only.
+    """
 
-    counts = map_batches(doc_and_text(chosen), run, "shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
-    rows = counts.filter(F.col("count") >= FREQUENT_DOCS).orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).collect()
-    found, often = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    def repeated(sets: list[np.ndarray]) -> pa.RecordBatch:
+        found, often = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[often > 1].view(np.int64)), pa.array(often[often > 1])], names=["shingle", "often"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for t in texts_of(batch):
+                held.append(_set(t, words))
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield repeated(held)
+                    held, size = [], 0
+        if held:
+            yield repeated(held)
+
+    small_batches(documents.sparkSession)
+    counts = doc_and_text(documents).mapInArrow(run, "shingle long, often long").groupBy("shingle").agg(F.sum("often").alias("often"))
+    top = counts.filter(F.col("often") >= FREQUENT_DOCS).orderBy(F.desc("often"), "shingle").limit(ORDER_SHINGLES).toArrow()
+    found, often = top["shingle"].to_numpy().view(np.uint64), top["often"].to_numpy()
     order = np.argsort(found)
     return found[order], often[order]
 
@@ -243,13 +260,19 @@ def _leader_pairs(postings: DataFrame, similarity: float, order: int) -> DataFra
 def _all_pairs(postings: DataFrame, similarity: float) -> DataFrame:
     """u, v: all pairs of members of a shingle's postings that are not yet in one component.
 
-    Long postings are cut into blocks, each of which meets all members; what can't be alike is left out within the join.
+    Long postings are cut into blocks, each of which meets all members; what can't be alike is left out within the join, and then what
+    shares too few shingles of the prefixes. Members of different components have all their common prefix shingles in open postings.
     """
     sized = postings.withColumn("blocks", F.ceil(F.col("members") / POSTINGS_BLOCK))
     a = sized.withColumn("block", F.pmod(F.xxhash64("same"), "blocks")).alias("a")
     b = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("b")
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") < F.col("b.component"))
-    return a.join(b, on & _may_be_alike("a", "b", similarity)).select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), (F.col("a.n") + F.col("b.n")).alias("total")).distinct()
+    met = a.join(b, on & _may_be_alike("a", "b", similarity)).select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"))
+    counted = met.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("shared"))
+    # What two sets share lies in both prefixes, or after the end of the prefix that ends first in the order of shingles.
+    rest = F.greatest(*[F.ceil(similarity * F.col(x) - 1e-9) for x in ("nu", "nv")]) - 1
+    total = F.col("nu") + F.col("nv")
+    return counted.filter((F.col("shared") + rest) * (1 + similarity) >= similarity * total - 1e-6).select("u", "v", total.alias("total"))
 
 
 def _alike(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -284,6 +307,15 @@ def _open(postings: DataFrame) -> DataFrame:
     return postings.withColumns(sized).filter("lo < hi").drop("lo", "hi")
 
 
+def _shared(found: DataFrame, prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """same, place, key: postings of prefix shingles that several classes have. Nothing else of the classes is shuffled with all postings."""
+    copies = durable(prints.join(classes, "same").filter("doc_id != first").select("doc_id", "same"), "copies")
+    side = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    postings = found.select("doc_id", "same", "prefix").join(side, ["doc_id", "same"], "left_anti").select("same", F.posexplode("prefix").alias("place", "key"))
+    everyone = Window.partitionBy("key")
+    return postings.withColumns({"lo": F.min("same").over(everyone), "hi": F.max("same").over(everyone)}).filter("lo < hi").select("same", "place", "key")
+
+
 def _few_pairs(postings: DataFrame) -> bool:
     """Whether all pairs of members that are still apart are at most PAIRS_A_POSTING a posting."""
     members = postings.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -310,9 +342,11 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
     marks = durable(found.groupBy("same").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "marks")
     links = _alike(durable(_fingerprint_pairs(marks), "candidates"), documents, classes, words, similarity)
     roots = connected_components(links, AT_ONCE)
-    arrays = _with_component(found.groupBy("same").agg(*[F.first(x).alias(x) for x in ("n", "prefix", *SKETCHES)]), roots)
-    postings = durable(_open(arrays.select("same", "n", *SKETCHES, "component", F.posexplode("prefix").alias("place", "key"))), "postings")
+    features = durable(_with_component(found.groupBy("same").agg(*[F.first(x).alias(x) for x in ("n", *SKETCHES)]), roots), "features")
+    shared = durable(_shared(found, prints, classes), "shared")
     _drop(found)
+    postings = durable(_open(shared.join(features, "same")), "postings")
+    _drop(shared, features)
     order, linked, worth = 0, None, classes.count() // WORTH
     while True:
         # One round of leaders comes first in any case, so that larger tables have no joins that small ones lack.

@@ -735,6 +735,34 @@ def test_near_copies_start_from_fingerprints(spark, monkeypatch):
     assert got == {d: 900 if d >= 900 else d - d % 10 for d, _ in table} and len(asked) == 2 and min(asked) > 25
 
 
+def test_shingles_are_ordered_by_all_documents(spark):
+    """A shingle of a few documents is frequent however many other documents there are."""
+    text = F.when(F.col("id") % 5000 == 7, "one two three four five").otherwise(F.concat(F.lit("doc "), F.col("id").cast("string")))
+    found, often = simhash._frequent(spark.range(20_000).coalesce(1).select(F.col("id").alias("doc_id"), text.alias("text")), 5)
+    assert found.tolist() == simhash.shingle_hashes("one two three four five", 5) and often.tolist() == [4]
+    found, often = simhash._frequent(spark.createDataFrame([], "doc_id long, text string"), 5)
+    assert not len(found) and not len(often)
+
+
+def test_unlike_long_texts_with_a_common_passage_are_no_candidates(spark, monkeypatch):
+    """What shares too few prefix shingles is no candidate, though its sketches are saturated; every similar pair is one."""
+    monkeypatch.setattr(simhash, "FREQUENT_DOCS", 10**9)
+    rng, table = random.Random(15), []
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(60)
+    for g in range(12):
+        words = fresh(300) + passage + fresh(300)
+        for k, copy in enumerate((words, words + fresh(20), words[:-80], words[60:] + fresh(70))):
+            table.append((g * 10 + k, " ".join(copy)))
+    found = simhash.prefixes(spark.createDataFrame(table, "doc_id long, text string"), 5, 0.8)
+    ids = {r.same: r.doc_id for r in found.collect()}
+    rows = found.select("same", "n", *simhash.SKETCHES, F.col("same").alias("component"), F.posexplode("prefix").alias("place", "key"))
+    got = [tuple(sorted((ids[r.u], ids[r.v]))) for r in simhash._all_pairs(simhash._open(rows), 0.8).collect()]
+    sets = {d: shingles(t) for d, t in table}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(got) == len(set(got)) and alike <= set(got) and len(alike) > 30 and all(a // 10 == b // 10 for a, b in got)
+
+
 def test_texts_are_packed_in_small_parts():
     import pyarrow as pa
 
