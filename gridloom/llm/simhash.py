@@ -101,9 +101,10 @@ BROADCAST_IDS = 1_000_000
 COUNTED, ORDER_SHINGLES, FREQUENT_DOCS = 4_000_000, 1_000_000, 3
 #: Members of a shingle's postings that are compared with all others in one task.
 POSTINGS_BLOCK = 512
-#: Bits of a set's parity sketch, and its columns of 64 bits.
-SKETCH = 256
-SKETCHES = [f"s{i}" for i in range(SKETCH // 64)]
+#: Bits of a set's parity sketches, and their columns of 64 bits. All postings have the short one; where all pairs are compared, the long
+#: one takes its place.
+SKETCH, LONG_SKETCH = 256, 1024
+SKETCHES, LONG_SKETCHES = ([f"{x}{i}" for i in range(bits // 64)] for x, bits in (("s", SKETCH), ("w", LONG_SKETCH)))
 #: Sum of two sets' sizes from which their sketches say little, as most of the bits differ by chance.
 SATURATED = 1200
 #: Pairs a posting that are compared at once, without another round of leaders; a round that links fewer than one class in so many is the last of leaders.
@@ -160,15 +161,15 @@ def _frequent(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
     return found[order], often[order]
 
 
-def _sketch(found: np.ndarray) -> np.ndarray:
-    """Whether an odd number of a set's elements falls on each of SKETCH bits: two sets' sketches differ in at most as many bits as
+def _sketch(found: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """Whether an odd number of a set's elements falls on each of so many bits: two sets' sketches differ in at most as many bits as
     there are elements in one of the sets alone."""
-    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) % 2
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % bits, minlength=bits) % 2
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def prefixes(documents: DataFrame, words: int, similarity: float) -> DataFrame:
-    """doc_id, same, n (distinct shingles), fp, prefix (the first shingles, rare ones before frequent ones) and sketch of every whole text."""
+    """doc_id, same, n (distinct shingles), fp, prefix (the first shingles, rare ones before frequent ones) and sketches of every whole text."""
     frequent, often = _frequent(documents, words)
 
     def first(found: np.ndarray) -> np.ndarray:
@@ -187,12 +188,12 @@ def prefixes(documents: DataFrame, words: int, similarity: float) -> DataFrame:
             hashes = np.array(shingle_hashes(t, words), np.uint64)
             prints.append(_majority(hashes))
             sets.append(np.unique(hashes))
-        sketches = np.array([_sketch(x) for x in sets]).reshape(-1, len(SKETCHES))
+        sketches = np.array([np.concatenate([_sketch(x), _sketch(x, LONG_SKETCH)]) for x in sets]).reshape(-1, len(SKETCHES + LONG_SKETCHES))
         columns = [batch.column(0), pa.array(map(_same, texts), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(prints, pa.int64()), pa.array(map(first, sets), LONGS), *map(pa.array, sketches.T.copy())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "fp", "prefix", *SKETCHES])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "n", "fp", "prefix", *SKETCHES, *LONG_SKETCHES])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, n int, fp long, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCHES))
+    return map_batches(doc_and_text(documents), run, f"doc_id {kind}, same long, n int, fp long, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCHES + LONG_SKETCHES))
 
 
 def _drop(*tables: DataFrame) -> None:
@@ -237,11 +238,14 @@ def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
     return one.union(near.select("same_u", "same_v", F.col("n_u") + F.col("n_v")))
 
 
-def _may_be_alike(a: str, b: str, similarity: float) -> Column:
-    """Of postings a and b of one shingle, by sizes, places in the order and sketches: false only if the sets can't be that similar."""
-    most = F.least(f"{a}.place", f"{b}.place") + 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place")) - 1
+def _may_be_alike(a: str, b: str, similarity: float, before: str = "place", sketches: list[str] = SKETCHES) -> Column:
+    """Of postings a and b of one shingle, by sizes, places in the order and sketches: false only if the sets can't be that similar.
+
+    The column `before` has at least the number of earlier shingles that the sets share.
+    """
+    most = F.least(f"{a}.{before}", f"{b}.{before}") + 1 + F.least(F.col(f"{a}.n") - F.col(f"{a}.place"), F.col(f"{b}.n") - F.col(f"{b}.place")) - 1
     total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in SKETCHES[1:]), F.bit_count(F.col(f"{a}.{SKETCHES[0]}").bitwiseXOR(F.col(f"{b}.{SKETCHES[0]}"))))
+    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in sketches[1:]), F.bit_count(F.col(f"{a}.{sketches[0]}").bitwiseXOR(F.col(f"{b}.{sketches[0]}"))))
     return (most * (1 + similarity) >= similarity * total - 1e-6) & (apart * (1 + similarity) <= (1 - similarity) * total + 1e-6)
 
 
@@ -257,22 +261,39 @@ def _leader_pairs(postings: DataFrame, similarity: float, order: int) -> DataFra
     return met.select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), (F.col("a.n") + F.col("b.n")).alias("total")).distinct()
 
 
-def _all_pairs(postings: DataFrame, similarity: float) -> DataFrame:
+def _all_pairs(postings: DataFrame, similarity: float, long_sketches: DataFrame | None = None) -> DataFrame:
     """u, v: all pairs of members of a shingle's postings that are not yet in one component.
 
-    Long postings are cut into blocks, each of which meets all members; what can't be alike is left out within the join, and then what
-    shares too few shingles of the prefixes. Members of different components have all their common prefix shingles in open postings.
+    Members of different components have all their common prefix shingles in open postings, most of them in runs: shingles that follow each
+    other in the open postings of both. Only where a run begins or ends is there a row; the ends' ranks less the beginnings' count the common
+    shingles. Long postings are cut into blocks, each of which meets all members; what can't be alike, by ranks and sketches (the long ones, if
+    given: same, LONG_SKETCHES), is left out within the join, and then what shares too few shingles of the prefixes.
     """
-    sized = postings.withColumn("blocks", F.ceil(F.col("members") / POSTINGS_BLOCK))
+    own, everyone = Window.partitionBy("same"), Window.partitionBy("key")
+    at = F.row_number().over(own.orderBy("place"))
+    ranked = postings.withColumns({"before": F.lag("key").over(own.orderBy("place")), "after": F.lead("key").over(own.orderBy("place")), "rank": at - 1, "left": F.count(F.lit(1)).over(own) - at})
+    # Within a run of all members nothing begins or ends.
+    steady = [(F.count(x).over(everyone) == F.count(F.lit(1)).over(everyone)) & (F.min(x).over(everyone) == F.max(x).over(everyone)) for x in ("before", "after")]
+    if long_sketches is not None:
+        ranked = ranked.drop(*SKETCHES)
+    sized = ranked.withColumn("steady", F.coalesce(steady[0] & steady[1], F.lit(False))).filter(~F.col("steady")).drop("steady")
+    if long_sketches is not None:
+        sized = sized.join(long_sketches, "same")
+    sized = durable(sized.withColumn("blocks", F.ceil(F.col("members") / POSTINGS_BLOCK)), "runs")
     a = sized.withColumn("block", F.pmod(F.xxhash64("same"), "blocks")).alias("a")
     b = sized.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).alias("b")
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") < F.col("b.component"))
-    met = a.join(b, on & _may_be_alike("a", "b", similarity)).select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"))
-    counted = met.groupBy("u", "v", "nu", "nv").agg(F.count(F.lit(1)).alias("shared"))
+    begins, ends = (F.coalesce(F.col(f"a.{x}") != F.col(f"b.{x}"), F.lit(True)) for x in ("before", "after"))
     # What two sets share lies in both prefixes, or after the end of the prefix that ends first in the order of shingles.
-    rest = F.greatest(*[F.ceil(similarity * F.col(x) - 1e-9) for x in ("nu", "nv")]) - 1
+    rest = lambda *n: F.greatest(*[F.ceil(similarity * F.col(x) - 1e-9) for x in n]) - 1
+    enough = lambda shared, total: shared * (1 + similarity) >= similarity * total - 1e-6
+    most = F.least("a.rank", "b.rank") + 1 + F.least("a.left", "b.left") + rest("a.n", "b.n")
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.component") < F.col("b.component")) & (begins | ends) & enough(most, F.col("a.n") + F.col("b.n"))
+    met = a.join(b, on & _may_be_alike("a", "b", similarity, "rank", SKETCHES if long_sketches is None else LONG_SKETCHES))
+    run = F.when(ends, F.col("a.rank") + 1).otherwise(0) - F.when(begins, F.col("a.rank")).otherwise(0)
+    met = met.select(F.col("a.same").alias("u"), F.col("b.same").alias("v"), F.col("a.n").alias("nu"), F.col("b.n").alias("nv"), run.alias("run"))
+    counted = met.groupBy("u", "v", "nu", "nv").agg(F.sum("run").alias("shared"))
     total = F.col("nu") + F.col("nv")
-    return counted.filter((F.col("shared") + rest) * (1 + similarity) >= similarity * total - 1e-6).select("u", "v", total.alias("total"))
+    return counted.filter(enough(F.col("shared") + rest("nu", "nv"), total)).select("u", "v", total.alias("total"))
 
 
 def _alike(pairs: DataFrame, documents: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -342,23 +363,23 @@ def near_copy_groups(documents: DataFrame, words: int = 5, similarity: float = 0
     marks = durable(found.groupBy("same").agg(F.first("n").alias("n"), F.first("fp").alias("fp")), "marks")
     links = _alike(durable(_fingerprint_pairs(marks), "candidates"), documents, classes, words, similarity)
     roots = connected_components(links, AT_ONCE)
-    features = durable(_with_component(found.groupBy("same").agg(*[F.first(x).alias(x) for x in ("n", *SKETCHES)]), roots), "features")
+    features = durable(_with_component(found.groupBy("same").agg(*[F.first(x).alias(x) for x in ("n", *SKETCHES, *LONG_SKETCHES)]), roots), "features")
     shared = durable(_shared(found, prints, classes), "shared")
     _drop(found)
-    postings = durable(_open(shared.join(features, "same")), "postings")
-    _drop(shared, features)
+    postings = durable(_open(shared.join(features.drop(*LONG_SKETCHES), "same")), "postings")
+    _drop(shared)
     order, linked, worth = 0, None, classes.count() // WORTH
     while True:
         # One round of leaders comes first in any case, so that larger tables have no joins that small ones lack.
         last = linked is not None and (linked <= worth or _few_pairs(postings))
-        pairs = durable(_all_pairs(postings, similarity) if last else _leader_pairs(postings, similarity, order), "candidates")
+        pairs = durable(_all_pairs(postings, similarity, features.select("same", *LONG_SKETCHES)) if last else _leader_pairs(postings, similarity, order), "candidates")
         found = _alike(pairs, documents, classes, words, similarity)
         linked = found.count()
         if linked:
             links = links.union(found)
             roots = connected_components(links, AT_ONCE)
         if last:
-            _drop(postings)
+            _drop(postings, features)
             break
         before, postings = postings, durable(_open(_with_component(postings, roots)), "postings")
         _drop(before)

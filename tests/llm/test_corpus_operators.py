@@ -763,6 +763,54 @@ def test_unlike_long_texts_with_a_common_passage_are_no_candidates(spark, monkey
     assert len(got) == len(set(got)) and alike <= set(got) and len(alike) > 30 and all(a // 10 == b // 10 for a, b in got)
 
 
+def test_versions_a_little_apart_are_no_candidates(spark, monkeypatch):
+    """Versions of a text somewhat under the similarity make few pairs, though they share most prefix shingles; near copies are all found."""
+    rng, table = random.Random(21), []
+    fresh = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(n)]
+    for g in range(5):
+        words = fresh(300)
+        for k in range(16):
+            version = words[: k * 18] + fresh(17) + words[k * 18 + 17 :]
+            table += [(g * 100 + 2 * k, " ".join(version)), (g * 100 + 2 * k + 1, " ".join(version + fresh(3)))]
+    asked, pairs = [], simhash._all_pairs
+
+    def counted(*given):
+        found = pairs(*given)
+        asked.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "_all_pairs", counted)
+    got = {r.doc_id: r.group_id for r in simhash.near_copy_groups(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in table} and len(asked) == 1 and asked[0] < 250
+
+
+def test_common_prefix_shingles_are_counted_by_runs(spark):
+    """Runs that begin and end in one row, in several rows and at the ends of postings: pairs with enough common shingles, and no others."""
+    rng, table = random.Random(22), []
+    for same in range(1, 120):
+        n = rng.randrange(20, 31)
+        shared = sorted(rng.sample(range(12), rng.randrange(1, 7)))
+        place = sorted(rng.sample(range(simhash.prefix_length(n, 0.6)), len(shared)))
+        table += [(same, n, same, p, key) + (0,) * len(simhash.SKETCHES) for p, key in zip(place, shared)]
+    names = ", ".join(f"{x} long" for x in ("same", "n", "component", "place", "key", *simhash.SKETCHES))
+    got = {(r.u, r.v): r.total for r in simhash._all_pairs(simhash._open(spark.createDataFrame(table, names)), 0.6).collect()}
+    keys, sizes, want = {}, {}, {}
+    for same, n, _, _, key, *_ in table:
+        keys.setdefault(same, set()).add(key)
+        sizes[same] = n
+    for u in keys:
+        for v in range(u + 1, 120):
+            n = sizes[u], sizes[v]
+            rest = math.ceil(0.6 * max(n) - 1e-9) - 1
+            if keys[u] & keys[v] and (len(keys[u] & keys[v]) + rest) * 1.6 >= 0.6 * sum(n) - 1e-6:
+                want[u, v] = sum(n)
+    assert set(got.items()) <= set(want.items()) and len(want) > 100
+    # Places may rule out more; where they can't, every pair is there.
+    spots = {(same, key): place for same, _, _, place, key, *_ in table}
+    free = {(u, v) for u, v in want if all((min(len([k for k in keys[x] if k < key]) for x in (u, v)) + min(sizes[x] - spots[x, key] for x in (u, v))) * 1.6 >= 0.6 * want[u, v] - 1e-6 for key in keys[u] & keys[v])}
+    assert free <= set(got) and len(free) > 50
+
+
 def test_texts_are_packed_in_small_parts():
     import pyarrow as pa
 
