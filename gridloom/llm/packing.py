@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import doc_and_text, small_batches
+from gridloom.llm.common import doc_and_text, give_back, small_batches
 from gridloom.llm.encoding import encoder
 
 #: Bytes of text that are encoded at once: what a batch's words and ids take together is many times its text.
-ENCODED = 4 << 20
+ENCODED = 1 << 20
 #: Windows of a full group, and tokens a window leaves free for imbalance.
 GROUP_WINDOWS = 64
 SLACK = 16
@@ -180,6 +180,8 @@ def pack_documents(documents: DataFrame, vocabulary: str, capacity: int = 4096,
                     for start, length in cuts(end - at, capacity):
                         yield doc, start, ids[at + start : at + start + length], end - at
                     at = end
+                del batch, ends, ids
+                give_back()
 
         def rows_of(group: list[tuple]) -> list[tuple]:
             rows = []

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import doc_and_text, drop_path, durable, map_batches, small_batches, texts_of
+from gridloom.llm.common import doc_and_text, drop_path, durable, give_back, map_batches, small_batches, texts_of
 from gridloom.llm.components import connected_components
 
 #: A-Z to a-z, other bytes as they are.
@@ -150,8 +150,11 @@ def _frequent(documents: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]
                 if size >= COUNTED:
                     yield repeated(held)
                     held, size = [], 0
+                    give_back()
         if held:
             yield repeated(held)
+        held.clear()
+        give_back()
 
     small_batches(documents.sparkSession)
     counts = doc_and_text(documents).mapInArrow(run, "shingle long, often long").groupBy("shingle").agg(F.sum("often").alias("often"))

@@ -961,3 +961,53 @@ def test_pipeline_stages(spark, data, libraries):
             lengths = check_packed([r for r in docs.collect()], dict(zip(before.doc_id, before.text)), libraries[WORD], 4096) if before.doc_id.is_unique else after.groupby("sequence_id").length.sum().tolist()
             assert max(lengths) <= 4096
         before = after
+
+
+def test_a_worker_that_has_packed_gives_its_memory_back(monkeypatch):
+    """Workers live on beside the next stage's: of 10 MB of text little stays with one that has packed it."""
+    import pyarrow as pa
+
+    from gridloom.llm import packing
+    from gridloom.llm.common import give_back
+    from gridloom.llm.encoding import encoder
+    from gridloom.llm.queries import WORD_VOCABULARY, vocabulary
+
+    class Documents:
+        sparkSession = schema = dataType = None
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+        def __getitem__(self, name):
+            return self
+
+        simpleString = staticmethod(lambda: "bigint")
+
+    documents = Documents()
+    documents.schema, documents.dataType = documents, documents
+    monkeypatch.setattr(packing, "doc_and_text", lambda x: x)
+    monkeypatch.setattr(packing, "small_batches", lambda x: None)
+    path = vocabulary(WORD_VOCABULARY)
+    run = packing.pack_documents(documents, path)
+
+    def resident():
+        give_back()
+        return now()
+
+    def now():
+        with open("/proc/self/status") as file:
+            return int(next(x for x in file if x.startswith("RssAnon")).split()[1]) / 1024
+
+    words = ["".join("abcdefghij"[int(d)] for d in str(i)) for i in range(100_000, 120_000)]
+
+    def batches():
+        rng = np.random.default_rng(5)
+        for k in range(2):
+            texts = [" ".join(words[i] for i in rng.integers(0, len(words), 1000).tolist()) for _ in range(700)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(700 * k, 700 * k + 700)), pa.array(texts)], names=["doc_id", "text"])
+
+    encoder(path).arrays(pa.array(words))
+    before = resident()
+    made = [x for batch in run(batches()) for x in batch.column(0).to_pylist()]
+    assert set(made) == set(range(1400))
+    del made
+    # What the generator of texts leaves is no part of it: Python's own lists are small beside what is encoded.
+    assert now() - before < 30
